@@ -1,0 +1,82 @@
+"""Frequent values of columns with too many distinct values to hold: iceberg multi-hash filtering.
+
+1. Every counting value is hashed by several independent hashes into ``buckets`` coarse buckets each, which are counted exactly. That
+   is ``hashes * buckets`` counters a column, however many distinct values there are.
+2. A value with at least the threshold number of rows puts at least that number into each of its buckets, so only values all of whose
+   buckets reach the threshold survive. At most ``1 / min_share`` buckets of a hash can reach it, which bounds what the driver holds.
+3. The survivors are counted exactly and cut at the threshold: no false value remains and none is missed.
+"""
+
+from __future__ import annotations
+
+import math
+
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+DEFAULT_HASHES = 3
+DEFAULT_BUCKETS = 8192
+
+
+def _buckets(item: Column, hashes: int, buckets: int) -> list[Column]:
+    return [F.pmod(F.xxhash64(F.lit(1_000_003 * (i + 1)), item), F.lit(buckets)).cast("int") for i in range(hashes)]
+
+
+def frequent_items(
+    items: DataFrame,
+    min_share: float = 0.01,
+    hashes: int = DEFAULT_HASHES,
+    buckets: int = DEFAULT_BUCKETS,
+    column: str = "column_name",
+    item: str = "item",
+) -> DataFrame:
+    """Values with at least ``min_share`` of the non-null values of their column.
+
+    ``items`` is in long form: ``column`` (what is counted apart; few distinct values) and ``item`` (string). Null items and null
+    columns do not count. Gives ``column, item, n_rows, n_total, share``; values at the threshold exactly are kept, ties all stay, and
+    an empty table gives no rows. Other columns of ``items`` are not read.
+    """
+    if not 0 < min_share <= 1:
+        raise ValueError("min_share must be above 0 and at most 1")
+    if hashes < 1 or buckets < 1:
+        raise ValueError("hashes and buckets must be at least 1")
+    spark = items.sparkSession
+    counting = items.select(F.col(column).alias(column), F.col(item).alias(item)).filter(F.col(column).isNotNull() & F.col(item).isNotNull())
+    coarse = (
+        counting.select(column, F.explode(F.array(*(F.struct(F.lit(i).alias("h"), b.alias("b")) for i, b in enumerate(_buckets(F.col(item), hashes, buckets))))).alias("at"))
+        .groupBy(column, "at.h", "at.b")
+        .agg(F.count(F.lit(1)).alias("n"))
+        .withColumn("n_total", F.sum("n").over(_totals(column)))
+    )
+    reached = coarse.filter(F.col("n") >= F.ceil(F.col("n_total") * F.lit(min_share) - F.lit(1e-9))).collect()
+    total: dict[str, int] = {}
+    wanted: dict[str, list[list[int]]] = {}
+    for r in reached:
+        total[r[column]] = r["n_total"]
+        wanted.setdefault(r[column], [[] for _ in range(hashes)])[r["h"]].append(r["b"])
+    schema = T.StructType([T.StructField(column, T.StringType()), T.StructField(item, items.schema[item].dataType), T.StructField("n_rows", T.LongType()), T.StructField("n_total", T.LongType()), T.StructField("share", T.DoubleType())])
+    if not wanted:
+        return spark.createDataFrame([], schema)
+    survives = F.lit(False)
+    n_total = F.lit(None).cast("bigint")
+    for name, per_hash in wanted.items():
+        test = F.col(column) == F.lit(name)
+        for b, reach in zip(_buckets(F.col(item), hashes, buckets), per_hash):
+            test = test & b.isin(reach)
+        survives = survives | test
+        n_total = F.when(F.col(column) == F.lit(name), F.lit(total[name])).otherwise(n_total)
+    exact = counting.filter(survives).groupBy(column, item).agg(F.count(F.lit(1)).alias("n_rows")).withColumn("n_total", n_total)
+    return exact.filter(F.col("n_rows") >= F.ceil(F.col("n_total") * F.lit(min_share) - F.lit(1e-9))).withColumn("share", F.col("n_rows") / F.col("n_total"))
+
+
+def _totals(column: str):
+    from pyspark.sql import Window
+
+    # the window holds one hash's counters of one column: at most `buckets` rows
+    return Window.partitionBy(column, "h")
+
+
+def candidate_bound(min_share: float) -> int:
+    """The most buckets of one hash, and so the most values of a column, that can reach the threshold."""
+    return math.floor(1 / min_share)
