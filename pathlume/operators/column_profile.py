@@ -374,6 +374,16 @@ class TableProfiles:
         spark = next(iter(tables.values())).sparkSession
         self.spark = spark
         self.histograms = written(load_histograms(chunk_partials(spark, tables, self.columns, load_column)), "profiles")
+        self._agree_with(tables)
+
+    def _agree_with(self, tables: dict[str, DataFrame]) -> None:
+        """Fail where the row groups read are not all of a table as Spark reads it (files that changed since they were listed)."""
+        profiled = {r[0]: r[1] for r in self.histograms.filter(F.col("view") == ROWS).groupBy("column_id").agg(F.sum("n")).collect()}
+        for name, table in tables.items():
+            rows = table.count()
+            for i, c in enumerate(self.columns):
+                if c.dataset_name == name and profiled.get(i, 0) != rows:
+                    raise RuntimeError(f"{name}.{c.column_name}: {profiled.get(i, 0)} rows were profiled of {rows}")
 
     def _named(self, df: DataFrame) -> DataFrame:
         names = self.spark.createDataFrame([(i, c.dataset_name, c.column_name, c.kind) for i, c in enumerate(self.columns)], "column_id int, dataset_name string, column_name string, kind string")
