@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from pathlume.llm.moderation import THRESHOLD, Moderator, common_wording, fit, labelled_rows, score_column
 from pathlume.llm.packing import container_use, pack
 from pathlume.llm.tokenizer import encode_column, token_counts
 from pathlume.sources.tables import read_table
@@ -32,5 +33,32 @@ def p7_containers(spark: SparkSession, data_dir: str) -> DataFrame:
     return container_use(p7_packed(spark, data_dir)).withColumn("cost", F.round("cost", 3))
 
 
-QUERIES = {"p6_ids": p6_ids, "p7_packed": p7_packed, "p7_containers": p7_containers}
+def moderator(spark: SparkSession, data_dir: str) -> Moderator:
+    """Fitted to the labelled sentences and to the common wording of all reviews."""
+    documents = read_table(spark, data_dir, "documents").select("doc_id", "text", "lang")
+    return fit(labelled_rows(read_table(spark, data_dir, "moderation_examples")), common_wording(_spread(documents)))
+
+
+def p8_scores(spark: SparkSession, data_dir: str) -> DataFrame:
+    """Score and category of every review."""
+    model = moderator(spark, data_dir)
+    documents = read_table(spark, data_dir, "documents").select("doc_id", "source", "text")
+    return score_column(_spread(documents), "text", model).drop("text")
+
+
+def p8_found(spark: SparkSession, data_dir: str) -> DataFrame:
+    return p8_scores(spark, data_dir).filter(F.col("score") >= THRESHOLD).select("doc_id")
+
+
+def p8_rates(spark: SparkSession, data_dir: str) -> DataFrame:
+    """Per source: reviews, harmful ones and their rate, and the mean score. Reviews without a source come as one row with a null."""
+    return (
+        p8_scores(spark, data_dir)
+        .groupBy("source")
+        .agg(F.count(F.lit(1)).alias("n_reviews"), F.count_if(F.col("score") >= THRESHOLD).alias("n_harmful"), F.avg("score").alias("mean_score"))
+        .withColumn("rate", F.col("n_harmful") / F.col("n_reviews"))
+    )
+
+
+QUERIES = {"p6_ids": p6_ids, "p7_packed": p7_packed, "p7_containers": p7_containers, "p8_found": p8_found, "p8_scores": p8_scores, "p8_rates": p8_rates}
 SQL: dict[str, str] = {}
