@@ -280,13 +280,11 @@ def migration_steps(versions: DataFrame, summaries: DataFrame) -> DataFrame:
     here = stays.join(opening, ["dataset_name", "place"]).withColumn("side", F.lit("new"))
     before = stays.join(opening.withColumn("place", F.col("place") - 1), ["dataset_name", "place"]).withColumn("side", F.lit("old"))
     sides = here.unionByName(before).select("dataset_name", F.col("opened_by").alias("filename"), F.col("opened").alias("version"), "side", "column_name", "logical", "stay")
-    # only columns that came or went need their content
+    # only columns that came or went need their content: the others look for no stay
     both = W.partitionBy("dataset_name", "filename", "column_name")
-    sides = sides.withColumn("moved", F.count(F.lit(1)).over(both) == 1)
-    moved = sides.filter("moved").join(views, ["dataset_name", "column_name", "stay"], "left")
-    kept = sides.filter("not moved").withColumn("views", F.lit(None).cast(views.schema["views"].dataType))
+    sides = sides.withColumn("stay", F.when(F.count(F.lit(1)).over(both) == 1, F.col("stay")))
     schema = "dataset_name string, filename string, version int, change string, old_name string, new_name string"
-    return moved.unionByName(kept).drop("moved", "stay").groupBy("dataset_name", "filename").applyInPandas(_steps, schema)
+    return sides.join(views, ["dataset_name", "column_name", "stay"], "left").drop("stay").groupBy("dataset_name", "filename").applyInPandas(_steps, schema)
 
 
 def wider(kinds: set[str]) -> str:

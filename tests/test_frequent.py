@@ -1,0 +1,33 @@
+import random
+from collections import Counter
+
+import pytest
+from pyspark.sql import functions as F
+
+from pathlume.functions.normalize import blank_free
+from pathlume.operators.frequent import candidate_bound, frequent_items
+
+
+@pytest.mark.parametrize(("hashes", "buckets"), [(3, 4096), (1, 7), (2, 1)])
+def test_frequent_values_are_exact_whatever_collides(spark, hashes, buckets):
+    rng = random.Random(1)
+    rows = [("c", f"v{int(rng.paretovariate(0.7))}") for _ in range(4000)] + [("d", "x")] * 99 + [("d", "y")] + [("c", None), (None, "z")]
+    df = spark.createDataFrame(rows, "column_name string, item string").withColumn("n", F.lit(1))
+    got = {(r["column_name"], r["item"]): (r["n_rows"], r["n_total"]) for r in frequent_items(df, 0.01, hashes, buckets).collect()}
+    counts = Counter(r for r in rows if None not in r)
+    totals = Counter(r[0] for r in rows if None not in r)
+    assert got == {k: (n, totals[k[0]]) for k, n in counts.items() if n >= 0.01 * totals[k[0]]}
+    assert ("d", "y") in got and got["d", "y"] == (1, 100)  # exactly at the threshold
+
+
+def test_empty_and_null_columns_give_nothing(spark):
+    df = spark.createDataFrame([("c", None)], "column_name string, item string")
+    assert frequent_items(df).collect() == [] and frequent_items(df.limit(0)).collect() == []
+    assert candidate_bound(0.01) == 100
+    with pytest.raises(ValueError):
+        frequent_items(df, 0)
+
+
+def test_blanks_and_case(spark):
+    df = spark.createDataFrame([(" \tAb C\t ",), ("",), ("  ",), (None,), (" x",)], "s string")
+    assert [r[0] for r in df.select(blank_free(F.col("s"))).collect()] == ["ab c", None, None, None, " x"]
