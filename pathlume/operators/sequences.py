@@ -2,9 +2,9 @@
 
 Step 0 is reached at the earliest row that meets it; step i at the earliest row that meets it strictly later than step i - 1 was reached.
 
-Per group this is a chain of minima over one window. A group that holds a large part of all rows is first cut into stretches of time:
-for every stretch it is worked out how far it takes a group from each possible start, and the stretches of the group are then followed
-in order. Rows of one time are never parted, so a row of a later stretch is strictly later.
+Per group this is a chain of minima over one window. A group that holds a large part of all rows would be one task's alone, so such
+groups go another way: there are few of them (a bound follows from their share), and for these a step is one partial minimum over all
+rows, after which the few times found are compared with in the next step. Their rows are spread over tasks for everything else.
 """
 
 from __future__ import annotations
@@ -18,44 +18,52 @@ from pathlume.functions.predicates import row_predicate
 from pathlume.operators.hot_keys import Measure
 
 DEFAULT_HEAVY_SHARE = 0.02
-DEFAULT_STRETCHES = 64
+DEFAULT_SPREAD = 64
 
 
-def reach_columns(df: DataFrame, keys: list[str], time: str, steps: list[Column], prefix: str, start: int = 0) -> tuple[DataFrame, list[str]]:
-    """``df`` with the times at which steps ``start``... are reached within the key, as window minima."""
+def reach_columns(df: DataFrame, keys: list[str], time: str, steps: list[Column], prefix: str) -> tuple[DataFrame, list[str]]:
+    """``df`` with the times at which the steps are reached within the key, as window minima; and the names of these columns."""
     window = W.partitionBy(*(col(k) for k in keys))
-    names, before = [], None
-    for i, step in enumerate(steps[start:], start):
-        name = f"{prefix}{start}_{i}"
-        due = step if before is None else step & (col(time) > col(before))
-        df = df.withColumn(name, F.min(F.when(due, col(time))).over(window))
-        names.append(name)
-        before = name
+    names: list[str] = []
+    for i, step in enumerate(steps):
+        due = step & (col(time) > col(names[-1])) if names else step
+        df = df.withColumn(f"{prefix}{i}", F.min(F.when(due, col(time))).over(window))
+        names.append(f"{prefix}{i}")
     return df, names
 
 
-def steps_reached(names: list[str], start: int) -> Column:
-    """``start`` plus the number of steps reached from there. A chain never reaches a step after one it missed."""
-    return F.lit(start) + sum((col(n).isNotNull().cast("int") for n in names), F.lit(0))
+def heavy_groups(rows: DataFrame, group: str, heavy_share: float) -> list:
+    """Groups with at least ``heavy_share`` of the rows: at most ``1 / heavy_share``."""
+    counts = rows.groupBy(col(group)).agg(F.count(F.lit(1)).alias("__n"))
+    total = rows.count()
+    return [r[0] for r in counts.filter(F.col("__n") >= F.lit(heavy_share * total)).select(col(group)).collect()] if total else []
 
 
-def heavy_spans(df: DataFrame, group: str, time: str, heavy_share: float = DEFAULT_HEAVY_SHARE) -> list[tuple]:
-    """(group, first time, last time) of groups with at least ``heavy_share`` of the rows: at most ``1 / heavy_share``."""
-    per_group = df.filter(col(group).isNotNull()).groupBy(col(group).alias("g")).agg(F.count(F.lit(1)).alias("n"), F.min(col(time)).alias("lo"), F.max(col(time)).alias("hi"))
-    total = df.count()
-    return [tuple(r) for r in per_group.filter(F.col("n") >= F.lit(max(1.0, heavy_share * total))).select("g", "lo", "hi").collect()] if total else []
+def _by_group(group: str, values: dict, kind: str) -> Column:
+    """The value of a row's group, null for groups without one."""
+    found = F.lit(None).cast(kind)
+    for g, v in values.items():
+        found = F.when(col(group) == F.lit(g), F.lit(v).cast(kind)).otherwise(found)
+    return found
 
 
-def _stretch(group: str, time: str, spans: list[tuple], number: int) -> Column:
-    """Which stretch of its group's time a row falls into; 0 for groups that are not cut."""
-    found = F.lit(0)
-    as_number = lambda t: t.cast("double")
-    for g, lo, hi in spans:
-        if lo is None or lo == hi:
-            continue
-        width = as_number(F.lit(hi)) - as_number(F.lit(lo))
-        found = F.when(col(group) == F.lit(g), F.least(F.lit(number - 1), F.floor((as_number(col(time)) - as_number(F.lit(lo))) / width * number)).cast("int")).otherwise(found)
-    return found
+def heavy_reach(rows: DataFrame, group: str, time: str, heavy: list, sequences: dict[str, list[Column]]) -> dict[str, dict]:
+    """Steps reached by sequence and heavy group. One job a step, of partial minima: nothing but they is shuffled or sent to the driver."""
+    own = rows.filter(col(group).isin(heavy))
+    kind = rows.schema[time].dataType.simpleString()
+    reached = {name: dict.fromkeys(heavy, 0) for name in sequences}
+    last: dict[str, dict] = {name: {} for name in sequences}
+    for i in range(max(map(len, sequences.values()))):
+        open_ = {n: s for n, s in sequences.items() if i < len(s) and (i == 0 or last[n])}
+        if not open_:
+            break
+        due = {n: s[i] & (col(time) > _by_group(group, last[n], kind)) if i else s[i] for n, s in open_.items()}
+        found = own.groupBy(col(group).alias("g")).agg(*(F.min(F.when(d, col(time))).alias(f"m{k}") for k, d in enumerate(due.values()))).collect()
+        for k, n in enumerate(due):
+            last[n] = {r["g"]: r[f"m{k}"] for r in found if r[f"m{k}"] is not None}
+            for g in last[n]:
+                reached[n][g] = i + 1
+    return reached
 
 
 def sequence_reach(
@@ -65,7 +73,7 @@ def sequence_reach(
     sequences: dict[str, list[dict]],
     measures: list[Measure] = (),
     heavy_share: float | None = DEFAULT_HEAVY_SHARE,
-    stretches: int = DEFAULT_STRETCHES,
+    spread: int = DEFAULT_SPREAD,
 ) -> DataFrame:
     """One row per group: for each named sequence (a list of expanded steps) the number of steps reached, from 0; and the measures of
     all its rows, from the same shuffle.
@@ -74,30 +82,27 @@ def sequence_reach(
     repeated rows count as one instant. ``heavy_share=None`` saves the count of rows per group where no group is known to be large.
     """
     clock = "__time"
-    # numbers in place of timestamps, so that stretches can be cut alike
+    # numbers in place of timestamps, which go to the driver and back
     stamped = df.schema[time].dataType.typeName().startswith("timestamp")
     at = F.expr(f"timestampdiff(MICROSECOND, timestamp_ntz'1970-01-01 00:00:00', cast({quoted(time)} as timestamp_ntz))") if stamped else col(time)
     flags = {f"__s{i}_{j}": row_predicate(step) for i, steps in enumerate(sequences.values()) for j, step in enumerate(steps)}
     inputs = {f"__v{i}": m.value for i, m in enumerate(measures) if m.value is not None}
     rows = df.filter(col(group).isNotNull()).select(col(group).alias("__group"), at.alias(clock), *(p.alias(n) for n, p in (flags | inputs).items()))
     carried = [Measure(m.name, m.kind, None if m.value is None else col(f"__v{i}")) for i, m in enumerate(measures)]
-    spans = heavy_spans(rows, "__group", clock, heavy_share) if heavy_share is not None else []
-    spans = [s for s in spans if s[1] is not None and s[1] != s[2]]
+    heavy = heavy_groups(rows, "__group", heavy_share) if heavy_share is not None else []
+    marks = {name: [col(f"__s{i}_{j}") for j in range(len(steps))] for i, (name, steps) in enumerate(sequences.items())}
     keys = ["__group"]
-    if spans:
-        rows = rows.withColumn("__stretch", _stretch("__group", clock, spans, stretches))
-        keys.append("__stretch")
+    if heavy:
+        known = heavy_reach(rows, "__group", clock, heavy, marks)
+        rows = rows.withColumn("__part", F.when(col("__group").isin(heavy), F.pmod(F.xxhash64(clock, *(col(n) for n in flags)), F.lit(spread))).otherwise(F.lit(0)))
+        keys.append("__part")
     reached: dict[str, Column] = {}
-    for i, (name, steps) in enumerate(sequences.items()):
-        marks = [col(f"__s{i}_{j}") for j in range(len(steps))]
-        ways = []
-        for start in range(len(steps) if spans else 1):
-            rows, names = reach_columns(rows, keys, clock, marks, f"__m{i}_", start)
-            ways.append(F.max(steps_reached(names, start)))
-        reached[name] = F.array(*ways, F.lit(len(steps))) if spans else ways[0]
+    for i, (name, steps) in enumerate(marks.items()):
+        rows, names = reach_columns(rows, keys, clock, steps, f"__m{i}_")
+        # a chain never reaches a step after one it missed
+        reached[name] = F.max(sum((col(n).isNotNull().cast("int") for n in names), F.lit(0)))
     per_part = rows.groupBy(*keys).agg(*(c.alias(n) for n, c in reached.items()), *(m.partial() for m in carried))
-    if spans:
-        per_group = per_part.groupBy("__group").agg(*(F.sort_array(F.collect_list(F.struct("__stretch", col(n).alias("to")))).alias(n) for n in reached), *(m.merged() for m in carried))
-        followed = [F.aggregate(col(n), F.lit(0), lambda at, part: F.element_at(part["to"], at + 1)).alias(n) for n in reached]
-        per_part = per_group.select("__group", *followed, *(col(m.name) for m in carried))
+    if heavy:
+        merged = per_part.groupBy("__group").agg(*(F.max(col(n)).alias(n) for n in reached), *(m.merged() for m in carried))
+        per_part = merged.select("__group", *(F.coalesce(_by_group("__group", known[n], "int"), col(n)).alias(n) for n in reached), *(col(m.name) for m in carried))
     return per_part.withColumnRenamed("__group", group)

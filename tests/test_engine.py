@@ -6,6 +6,7 @@ from hypothesis import HealthCheck, given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
+from pathlume.operators.hot_keys import Measure
 from pathlume.operators.sequences import sequence_reach
 from pathlume.plans.engine import CohortEngine
 from pathlume.plans.errors import QueryProblem
@@ -170,15 +171,16 @@ def brute(rows, steps):
 
 @settings(max_examples=12, deadline=None, suppress_health_check=[HealthCheck.function_scoped_fixture])
 @given(st.integers(0, 10_000), st.lists(st.sampled_from("xyz"), min_size=1, max_size=4))
-def test_reach_equals_brute_force_whole_and_in_stretches(spark, seed, steps):
+def test_reach_equals_brute_force_with_and_without_heavy_groups(spark, seed, steps):
     rng = random.Random(seed)
     rows = [(rng.choice(["hot", "hot", "b", "c", None]), rng.choice([None, *range(30)]), rng.choice("xyzw")) for _ in range(120)]
     df = spark.createDataFrame(rows, "g string, t long, k string")
     wanted = [{"filter": {"column": "k", "op": "==", "value": s}} for s in steps]
     expected = brute(rows, steps)
-    for share, pieces in ((None, 1), (0.2, 7), (0.01, 64)):
-        got = {r["g"]: r["n"] for r in sequence_reach(df, "g", "t", {"n": wanted}, heavy_share=share, stretches=pieces).collect()}
-        assert got == expected
+    for share, spread in ((None, 1), (0.2, 7), (0.01, 64)):
+        found = sequence_reach(df, "g", "t", {"n": wanted, "first": wanted[:1]}, [Measure("rows", "count")], heavy_share=share, spread=spread).collect()
+        assert {r["g"]: r["n"] for r in found} == expected and {r["g"]: r["first"] for r in found} == brute(rows, steps[:1])
+        assert {r["g"]: r["rows"] for r in found} == {g: sum(r[0] == g for r in rows) for g in expected}
 
 
 def test_plan_of_conditions_with_sequence_is_one_scan_and_one_exchange(spark, tmp_path):
