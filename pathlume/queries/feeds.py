@@ -23,10 +23,16 @@ def p5_versions(spark: SparkSession, data_dir: str) -> DataFrame:
     return drift(spark, data_dir).versions.select("dataset_name", "part_idx", "filename", "version", "fingerprint", F.size("columns").alias("n_columns"))
 
 
+def p5_rules(spark: SparkSession, data_dir: str) -> DataFrame:
+    """Where each column of each schema version goes: the column of the feed's table and the type it is cast to."""
+    rules = drift(spark, data_dir).rules()
+    return rules.select("dataset_name", "version", F.explode("rules").alias("r")).select("dataset_name", "version", F.col("r.source").alias("column_name"), F.col("r.target").alias("table_column"), F.col("r.logical").alias("logical"))
+
+
 def p5_table(spark: SparkSession, data_dir: str) -> DataFrame:
     """All rows of all feeds, each under the columns of its feed's one table."""
     return drift(spark, data_dir).table()
 
 
-QUERIES = {"p5_found": p5_found, "p5_versions": p5_versions, "p5_table": p5_table}
+QUERIES = {"p5_found": p5_found, "p5_versions": p5_versions, "p5_rules": p5_rules, "p5_table": p5_table}
 SQL: dict[str, str] = {}
