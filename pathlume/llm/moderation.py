@@ -20,6 +20,7 @@ from pyspark.sql import functions as F
 from pathlume.llm.moderation_model import LABELS, Model, Shape, train
 from pathlume.llm.moderation_phrases import generated
 from pathlume.llm.moderation_text import Segmenter, tokens
+from pathlume.sources.workspace import written
 
 WINDOW, STRIDE = 16, 6
 #: Labelled rows used at most; where there are more, those with the least hash of their text.
@@ -78,6 +79,20 @@ def language_of(tag: pd.Series) -> pd.Series:
     return tag.fillna("").str.strip().str.lower().str[:2].replace("", "xx")
 
 
+def _marked(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Texts that have tokens, with a key that copies share whatever their case, markup, figures, disguises and ``!`` and ``?``."""
+    for batch in batches:
+        rows = [(text, lang, of, " ".join(w for w in found if w not in "!?")) for text, lang, of in zip(batch["text"], batch["lang"], language_of(batch["lang"])) if (found := tokens(text))]
+        frame = pd.DataFrame(rows, columns=["text", "lang", "language", "key"], dtype=object)
+        yield frame.assign(key=pd.util.hash_array(frame["key"].to_numpy()).view(np.int64))
+
+
+def one_of_each(documents: DataFrame) -> DataFrame:
+    """``text, lang``: each normalised text once a language. Texts without tokens are left out. Edited copies with other words stay."""
+    marked = documents.select("text", "lang").mapInPandas(_marked, "text string, lang string, language string, key bigint")
+    return marked.groupBy("language", "key").agg(F.min("text").alias("text"), F.min("lang").alias("lang")).select("text", "lang")
+
+
 def _triples(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     """Per language: the number of texts (empty triple) and of texts with each triple."""
     counts: Counter = Counter()
@@ -101,12 +116,14 @@ def _triples(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 
 
 def common_wording(documents: DataFrame, least_share: float = LEAST_SHARE, least_texts: int = LEAST_TEXTS) -> CommonWording:
-    """Triples in at least ``least_share`` of a language's texts, counted over all ``documents`` (``text``, ``lang``).
+    """Triples in at least ``least_share`` of a language's texts, counted over all ``documents`` (``text``, ``lang``). Copies count like
+    other texts: for wording that many texts share and not one text copied, give ``one_of_each`` of them.
 
     What reaches the driver is bounded: at most 1 / ``least_share`` times the mean number of triples of a text, for each language
     that at least ``least_texts`` texts have. Rare wording, harmful or not, is no part of it.
     """
     counted = documents.select("text", "lang").mapInPandas(_triples, "language string, triple string, n bigint").groupBy("language", "triple").agg(F.sum("n").alias("n"))
+    counted = written(counted.filter((F.col("triple") == "") | (F.col("n") >= least_texts)), "wording")
     texts = counted.filter("triple = ''").select("language", F.col("n").alias("texts"))
     rows = counted.filter("triple != ''").filter(F.col("n") >= least_texts).join(F.broadcast(texts), "language").filter(F.col("n") >= F.col("texts") * least_share).collect()
     found: dict[str, dict[tuple[str, str, str], float]] = {}
@@ -123,7 +140,8 @@ def without_harmful(wording: CommonWording, harmful: Sequence[list[str]], harmle
 
 
 def plausible(labelled: Sequence[tuple[str, str, str]], wording: CommonWording, most_common: float = 0.5) -> list[tuple[str, str, str]]:
-    """The labelled rows less those called harmful although more than ``most_common`` of their triples are common wording: wrong labels."""
+    """The labelled rows less those called harmful once although more than ``most_common`` of their triples are common wording: labels that
+    may be wrong."""
     common = {t for found in wording.triples.values() for t in found}
 
     def ordinary(text: str) -> bool:
@@ -224,15 +242,18 @@ def fit(
     shape: Shape = Shape(),
 ) -> Moderator:
     """A moderator from (text, label, language) rows and the common wording of the corpus it will read. Repeated rows weigh more; rows
-    without text or with an unknown label are left out."""
-    labelled = plausible(labelled, wording)
+    without text or with an unknown label are left out. Rows called harmful whose wording is common are no evidence for it being harmless,
+    and count as soon as the model, trained on the others, does not find them harmless."""
+    labelled = [row for row in labelled if row[1] in LABELS and row[0]]
+    likely = set(plausible(labelled, wording))
+    doubtful = {i for i, row in enumerate(labelled * copies) if row not in likely}
     models, counts = [], {}
     for seed in seeds:
         examples = training_set(labelled, wording, n_generated, n_common, copies, seed)
         for text, _ in examples:
             for w in text:
                 counts[w] = counts.get(w, 0) + 1
-        models.append(train(examples, shape, seed=seed, epochs=epochs))
+        models.append(train(examples, shape, seed=seed, epochs=epochs, doubtful=doubtful))
     total = sum(counts.values())
     known = {w: -float(np.log(n / total)) for w, n in counts.items() if n >= 3 and w.isalpha() and (len(w) > 1 or w in ("a", "i", "y", "e", "o", "à", "é"))}
     return Moderator(models, Segmenter(known))

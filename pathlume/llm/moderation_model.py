@@ -9,7 +9,7 @@ so the same examples give the same model.
 from __future__ import annotations
 
 import zlib
-from collections.abc import Sequence
+from collections.abc import Collection, Sequence
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -260,8 +260,11 @@ def train(
     gram_drop: float = 0.15,
     smoothing: float = 0.03,
     min_word_count: int = 2,
+    doubtful: Collection[int] = (),
 ) -> Model:
-    """Fit a model to tokenised examples with class numbers. From half-way on, examples the model finds clearly mislabelled count nothing."""
+    """Fit a model to tokenised examples with class numbers. From half-way on, examples the model finds clearly mislabelled count nothing.
+    The ``doubtful`` ones (by place) count from half-way on, where the model does not find them harmless."""
+    doubted = np.array([i in doubtful for i, e in enumerate(examples) if e[0]], dtype=bool)
     examples = [e for e in examples if e[0]]
     if not examples:
         raise ValueError("no examples to fit to")
@@ -272,7 +275,7 @@ def train(
     model = Model.fresh(shape, sorted(w for w, n in counts.items() if n >= min_word_count), seed)
     rng = np.random.default_rng(seed)
     adam = Adam(model.p, rate, decay)
-    weights = np.ones(len(examples), dtype=np.float32)
+    weights = np.where(doubted, 0, 1).astype(np.float32)
     steps = epochs * -(-len(examples) // batch)
     done = 0
     for epoch in range(epochs):
@@ -287,7 +290,8 @@ def train(
             target[np.arange(len(chosen)), label] += 1 - smoothing
             _, probability, g = model.gradients([examples[k][0] for k in chosen], target, weights[chosen], rng, word_drop, gram_drop)
             if epoch >= epochs // 2:
-                weights[chosen] = np.where(probability[np.arange(len(chosen)), label] < 0.05, 0.0, 1.0)
+                wrong = np.where(doubted[chosen], probability[:, 0] > 0.5, probability[np.arange(len(chosen)), label] < 0.05)
+                weights[chosen] = np.where(wrong, 0.0, 1.0)
             adam.step(g, scale=max(0.05, 1 - done / steps))
             done += 1
     model._grams.clear()

@@ -117,3 +117,29 @@ def test_score_column(spark, moderator):
     with pytest.raises(ValueError):
         m.score_column(df.withColumnRenamed("doc_id", "score"), "text", moderator)
     assert isinstance(got, pd.DataFrame)
+
+
+def test_copies_of_a_harmful_text_are_not_common_wording(spark):
+    rng = np.random.default_rng(5)
+    words = [a + b + c for a in ("ba", "ke", "li", "no", "su") for b in ("ra", "me", "di", "po", "tu") for c in ("l", "ns", "rk", "gen", "vit")]
+    harmful = "people of your sort are the dirt under every honest shoe and should be swept from this town for good before winter comes"
+    other = [" ".join(rng.choice(words, 30)) + " the colour is fine and warm" for _ in range(60)]
+    edited = [harmful.upper() + "!", f"<b>{harmful}</b>", harmful.replace("winter", "w1nter"), f"{harmful} ?!"]
+    rows = [(t, "en") for t in other + [harmful] * 26 + edited]
+    kept = m.one_of_each(spark.createDataFrame(rows, "text string, lang string"))
+    texts = [r["text"] for r in kept.collect()]
+    assert set(other) <= set(texts) and len(texts) == len(other) + 1
+    common = m.common_wording(kept).triples["en"]
+    assert ("colour", "is", "fine") in common and not common.keys() & set(zip(tokens(harmful), tokens(harmful)[1:], tokens(harmful)[2:]))
+    assert m.plausible([(harmful, "hateful", "en")], m.CommonWording({"en": common})) == [(harmful, "hateful", "en")]
+    assert m.one_of_each(spark.createDataFrame([(None, "en"), ("", None)], "text string, lang string")).count() == 0
+
+
+def test_a_harmful_label_counts_however_common_its_wording():
+    harmful, harmless = "you stupid idiot, go to hell you worthless moron", "the lamp is light and the parcel came early"
+    common = m.CommonWording({"en": {t: 0.3 for x in (tokens(harmful), tokens(harmless)) for t in zip(x, x[1:], x[2:])}})
+    labelled = [*generated(250, 99), (harmful, "abusive", "en"), (harmless, "sexual", "en")]
+    assert m.plausible(labelled, common) == labelled[:-2]
+    found = m.fit(labelled, common, epochs=4, n_generated=3000, n_common=600, copies=2, shape=Shape(24, 24, 20, 16, 8192))
+    p = found.scores([harmful, harmless])
+    assert p[0, 0] < 0.5 < p[1, 0]
