@@ -22,7 +22,7 @@ from pathlume.llm.moderation_phrases import generated
 from pathlume.llm.moderation_text import Segmenter, tokens
 from pathlume.sources.workspace import written
 
-WINDOW, STRIDE = 16, 6
+WINDOW, STRIDE = 16, 1
 #: Labelled rows used at most; where there are more, those with the least hash of their text.
 MAX_LABELLED = 20_000
 GENERATED = 9_000
@@ -216,15 +216,16 @@ class Moderator:
 
     def scores(self, texts: Sequence[str | None]) -> np.ndarray:
         """(texts, classes): of each text the class probabilities of its worst window; ``none`` for texts without tokens."""
-        owner, windows = [], []
+        owner, at, seen = [], [], {}  # windows that occur again are scored once
         for i, text in enumerate(texts):
             for w in windows_of(self.segmenter.tokens(text)):
                 owner.append(i)
-                windows.append(w)
+                at.append(seen.setdefault(tuple(w), len(seen)))
+        windows = [list(w) for w in seen]
         out = np.zeros((len(texts), len(LABELS)))
         out[:, 0] = 1
         if windows:
-            p = np.mean([m.scores(windows) for m in self.models], axis=0)
+            p = np.mean([m.scores(windows) for m in self.models], axis=0)[at]
             owner = np.array(owner)
             for k in np.argsort(-p[:, 0], kind="stable"):  # the least harmless window comes last and stays
                 out[owner[k]] = p[k]

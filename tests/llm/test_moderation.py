@@ -143,3 +143,16 @@ def test_a_harmful_label_counts_however_common_its_wording():
     found = m.fit(labelled, common, epochs=4, n_generated=3000, n_common=600, copies=2, shape=Shape(24, 24, 20, 16, 8192))
     p = found.scores([harmful, harmless])
     assert p[0, 0] < 0.5 < p[1, 0]
+
+
+def test_a_sentence_as_long_as_a_window_lies_whole_in_one_wherever_it_starts():
+    for n in range(1, m.WINDOW + 1):
+        core = [f"c{i}" for i in range(n)]
+        for before in range(2 * m.WINDOW):
+            windows = m.windows_of(["x"] * before + core + ["y"] * 40)
+            assert any(w[i : i + n] == core for w in windows for i in range(len(w) - n + 1))
+
+
+def test_windows_that_occur_again_change_no_score(moderator):
+    texts = ["The lamp is light. " * 20, "You stupid idiot, go to hell. " + "The lamp is light. " * 20, "The lamp is light. " * 20, "", "You stupid idiot, go to hell."]
+    assert np.allclose(moderator.scores(texts), np.concatenate([moderator.scores([t]) for t in texts]), atol=1e-5)
