@@ -30,6 +30,8 @@ from pathlume.sources.workspace import written
 PARTIAL = "column_id int, load_no bigint, view int, bin bigint, n bigint, lo double, hi double"
 #: Views of a partial count: all rows, nulls, extrema only, one distinct value, and the bins of magnitude, length and form.
 ROWS, NULLS, EXTREMA, VALUE, SIZE, LENGTH, FORM = range(7)
+#: View of the merged counts only: distinct values by how often a load has them.
+OFTEN = 7
 VALUE_BINS = 1024
 BINS_PER_DOUBLING = 4
 
@@ -220,11 +222,15 @@ def chunk_partials(spark: SparkSession, tables: dict[str, DataFrame], columns: l
 
 
 def load_histograms(partials: DataFrame) -> DataFrame:
-    """``column_id, load_no, view, bin, n, n_distinct, lo, hi``: partials merged, distinct values folded into ``VALUE_BINS`` bins."""
+    """``column_id, load_no, view, bin, n, n_distinct, lo, hi``: partials merged, distinct values folded into ``VALUE_BINS`` bins, and by how
+    often they occur in the load: exact up to 32 times, then in steps of a quarter doubling."""
     merged = partials.groupBy("column_id", "load_no", "view", "bin").agg(F.sum("n").alias("n"), F.min(F.nanvl("lo", F.lit(None))).alias("lo"), F.max(F.nanvl("hi", F.lit(None))).alias("hi"))
-    folded = F.when(F.col("view") == VALUE, F.pmod(F.col("bin"), F.lit(VALUE_BINS))).otherwise(F.col("bin"))
+    views = lambda **of: F.array(*(F.struct(F.lit(v).alias("view"), b.cast("bigint").alias("bin")) for v, b in of.values()))
+    often = F.when(F.col("n") <= 32, F.col("n")).otherwise(F.floor(F.log2(F.col("n").cast("double")) * BINS_PER_DOUBLING) + 12)
+    of_value = views(a=(VALUE, F.pmod(F.col("bin"), F.lit(VALUE_BINS))), b=(OFTEN, often))
     return (
-        merged.withColumn("bin", folded)
+        merged.withColumn("x", F.explode(F.when(F.col("view") == VALUE, of_value).otherwise(F.array(F.struct("view", "bin")))))
+        .select("column_id", "load_no", "x.view", "x.bin", "n", "lo", "hi")
         .groupBy("column_id", "load_no", "view", "bin")
         .agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("n_distinct"), F.min("lo").alias("lo"), F.max("hi").alias("hi"))
     )
@@ -257,8 +263,8 @@ def signals(histograms: DataFrame) -> DataFrame:
     """``column_id, view, load_no, bin, n, of``: what loads are compared on, in few bins.
 
     Value, length and form bins stay where they are common over all loads or a spike in one, the rest become one bin. Magnitude bins
-    are grouped into ``MAGNITUDE_GROUPS`` of about equal share. The null rate is a view of two bins; the distinct ratio one number
-    (``n`` of ``of``). The result has some tens of rows a load, column and view.
+    are grouped into ``MAGNITUDE_GROUPS`` of about equal share. The null rate is a view of two bins; the distinct ratio has ``n``
+    distinct values with ``of`` rows by how often they occur. The result has some tens of rows a load, column and view.
     """
     binned = histograms.filter(F.col("view").isin(VALUE, SIZE, LENGTH, FORM)).select("column_id", "view", "load_no", "bin", "n")
     share = binned.withColumn("share", F.col("n") / F.sum("n").over(W.partitionBy("column_id", "view", "load_no")))
@@ -279,7 +285,7 @@ def signals(histograms: DataFrame) -> DataFrame:
     nulls = profile.select("column_id", F.lit(NULL_RATE).alias("view"), "load_no", F.explode(F.array(F.struct(F.lit(0).cast("bigint").alias("bin"), F.col("n_null").alias("n")), F.struct(F.lit(1).cast("bigint").alias("bin"), filled.alias("n")))).alias("x")).select(
         "column_id", "view", "load_no", "x.bin", "x.n", F.lit(None).cast("bigint").alias("of")
     )
-    distinct = profile.select("column_id", F.lit(DISTINCT_RATIO).alias("view"), "load_no", F.lit(0).cast("bigint").alias("bin"), F.col("n_distinct").alias("n"), filled.alias("of"))
+    distinct = histograms.filter(F.col("view") == OFTEN).select("column_id", F.lit(DISTINCT_RATIO).alias("view"), "load_no", "bin", F.col("n_distinct").alias("n"), F.col("n").alias("of"))
     return mixes.unionByName(nulls).unionByName(distinct)
 
 
@@ -328,10 +334,33 @@ def distinct_departures(ratios: pd.DataFrame) -> pd.Series:
     return off[near & (off > max(0.1, DEVIATIONS * 1.4826 * off.median()))]
 
 
+def equal_size_departures(often: pd.DataFrame) -> pd.Series:
+    """The same for every load, whatever its number of values. ``often``: ``load_no, n, of``, the numbers of distinct values that occur
+    about equally often in a load and of their rows.
+
+    Two loads are compared at the size of the smaller one: the larger is thinned to it in expectation. A load's departure is the median
+    difference to the others; that of a small load must also exceed its chance.
+    """
+    loads = [(load, g["n"].to_numpy(dtype=float), g["of"].to_numpy(dtype=float)) for load, g in often[often["of"] > 0].groupby("load_no")]
+    if len(loads) < 3:
+        return pd.Series(dtype=float)
+    size = np.array([of.sum() for _, _, of in loads])
+    at = np.minimum.outer(size, size)
+    ratio = np.stack([(n * (1 - (1 - np.minimum(at[k] / size[k], 1.0))[:, None] ** (of / n))).sum(axis=1) / at[k] for k, (_, n, of) in enumerate(loads)])
+    apart = ratio - ratio.T
+    np.fill_diagonal(apart, np.nan)
+    off = np.abs(np.nanmedian(apart, axis=1))
+    np.fill_diagonal(at, np.nan)
+    others = np.clip(np.nanmedian(np.where(np.isnan(apart), np.nan, ratio.T), axis=1), 0.0, 1.0)
+    chance = 3 * np.sqrt(np.maximum(others * (1 - others), 1 / size) / np.nanmedian(at, axis=1))
+    limit = np.maximum(max(0.1, DEVIATIONS * 1.4826 * float(np.median(off))), chance)
+    return pd.Series(off, index=[load for load, _, _ in loads])[off > limit]
+
+
 def _judged(group: pd.DataFrame) -> pd.DataFrame:
     view = int(group["view"].iloc[0])
     if view == DISTINCT_RATIO:
-        found = distinct_departures(group.set_index("load_no")[["n", "of"]])
+        found = equal_size_departures(group)
     else:
         found = departures(group.pivot_table(index="load_no", columns="bin", values="n", aggfunc="sum", fill_value=0))
     return pd.DataFrame({"column_id": int(group["column_id"].iloc[0]), "load_no": found.index.astype("int64"), "view": view, "departure": found.to_numpy(dtype=float)})

@@ -94,3 +94,30 @@ def test_records(spark):
     assert found(("t", 1, "i", 1.0, 9.0, None, 1), ("t", 1, "s", None, None, 0.5, 1), ("t", 2, "i", math.nan, None, None, 1), ("t", 9, "i", 5.0, 5.0, None, 1), ("t", 1, "b", 5.0, 5.0, 5.0, 1)) == set()
     assert found(("t", 1, "i", 1.0, 9.0, None, 1), ("t", 1, "i", 1.0, 9.1, None, 2), ("t", 1, "i", 1.0, 9.1, None, 2)) == {("t", 1, "i")}  # the latest counts, repeated or not
     assert found(("t", 1, "s", None, None, None, 1), ("t", 3, "s", None, None, 0.5000004, 1), ("t", 2, "i", 1.0, None, None, 1)) == {("t", 1, "s"), ("t", 2, "i")}
+
+
+def test_distinct_ratios_of_loads_of_any_size():
+    rng = np.random.default_rng(3)
+
+    def often(loads):
+        found = []
+        for load, values in enumerate(loads):
+            times = pd.Series(values).value_counts().value_counts()
+            found += [(load, n, n * k) for k, n in times.items()]
+        return pd.DataFrame(found, columns=["load_no", "n", "of"])
+
+    usual = [rng.integers(0, 2000, n) for n in (1000, 1100, 900, 1050, 950, 1000)]
+    sizes = [rng.integers(0, 2000, 20_000), rng.integers(0, 2000, 60)]  # their ratios differ by their size alone
+    assert cp.equal_size_departures(often(usual + sizes)).empty
+    odd = [rng.integers(0, 200, 20_000), rng.integers(0, 9, 60), np.arange(20_000)]  # a hot load frozen to few values, a small one, all distinct
+    assert list(cp.equal_size_departures(often(usual + sizes + odd)).index) == [8, 9, 10]
+    assert cp.equal_size_departures(often(usual[:2])).empty
+
+
+def test_a_hot_load_is_judged_on_its_distinct_ratio(spark, tmp_path):
+    rng = random.Random(4)
+    rows = [(load, rng.randrange(100_000, 110_000) if load else 100_000 + 250 * rng.randrange(40), 1.0, True, "a") for load in range(6) for _ in range(300 if load else 3000)]
+    pq.write_table(table_of(rows), tmp_path / "t.parquet")
+    found = cp.TableProfiles({"t": spark.read.parquet(str(tmp_path / "t.parquet"))}, {"t": ["i"]}).histograms
+    judged = cp.departing_loads(found).filter(cp.F.col("view") == cp.DISTINCT_RATIO).collect()
+    assert [(r["column_id"], r["load_no"]) for r in judged] == [(0, 0)]
