@@ -30,8 +30,10 @@ from pathlume.sources.workspace import written
 PARTIAL = "column_id int, load_no bigint, view int, bin bigint, n bigint, lo double, hi double"
 #: Views of a partial count: all rows, nulls, extrema only, one distinct value, and the bins of magnitude, length and form.
 ROWS, NULLS, EXTREMA, VALUE, SIZE, LENGTH, FORM = range(7)
-#: View of the merged counts only: distinct values by how often a load has them.
-OFTEN = 7
+#: Views of the merged counts only: distinct values by how often a load has them, and rows by how many loads have their value.
+OFTEN, SHARED = 7, 8
+#: From so many loads on, a value counts as one of the column's.
+SHARED_LOADS = 3
 VALUE_BINS = 1024
 BINS_PER_DOUBLING = 4
 
@@ -223,13 +225,15 @@ def chunk_partials(spark: SparkSession, tables: dict[str, DataFrame], columns: l
 
 def load_histograms(partials: DataFrame) -> DataFrame:
     """``column_id, load_no, view, bin, n, n_distinct, lo, hi``: partials merged, distinct values folded into ``VALUE_BINS`` bins, and by how
-    often they occur in the load: exact up to 32 times, then in steps of a quarter doubling."""
+    often they occur in the load: exact up to 32 times, then in steps of a quarter doubling; and rows by
+    whether their value is in one load, two or more, from the exact hashes."""
     merged = partials.groupBy("column_id", "load_no", "view", "bin").agg(F.sum("n").alias("n"), F.min(F.nanvl("lo", F.lit(None))).alias("lo"), F.max(F.nanvl("hi", F.lit(None))).alias("hi"))
     views = lambda **of: F.array(*(F.struct(F.lit(v).alias("view"), b.cast("bigint").alias("bin")) for v, b in of.values()))
     often = F.when(F.col("n") <= 32, F.col("n")).otherwise(F.floor(F.log2(F.col("n").cast("double")) * BINS_PER_DOUBLING) + 12)
-    of_value = views(a=(VALUE, F.pmod(F.col("bin"), F.lit(VALUE_BINS))), b=(OFTEN, often))
+    of_value = views(a=(VALUE, F.pmod(F.col("bin"), F.lit(VALUE_BINS))), b=(OFTEN, often), c=(SHARED, F.least(F.col("loads"), F.lit(SHARED_LOADS))))
     return (
-        merged.withColumn("x", F.explode(F.when(F.col("view") == VALUE, of_value).otherwise(F.array(F.struct("view", "bin")))))
+        merged.withColumn("loads", F.count(F.lit(1)).over(W.partitionBy("column_id", "view", "bin")))
+        .withColumn("x", F.explode(F.when(F.col("view") == VALUE, of_value).otherwise(F.array(F.struct("view", "bin")))))
         .select("column_id", "load_no", "x.view", "x.bin", "n", "lo", "hi")
         .groupBy("column_id", "load_no", "view", "bin")
         .agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("n_distinct"), F.min("lo").alias("lo"), F.max("hi").alias("hi"))
@@ -263,10 +267,11 @@ def signals(histograms: DataFrame) -> DataFrame:
     """``column_id, view, load_no, bin, n, of``: what loads are compared on, in few bins.
 
     Value, length and form bins stay where they are common over all loads or a spike in one, the rest become one bin. Magnitude bins
-    are grouped into ``MAGNITUDE_GROUPS`` of about equal share. The null rate is a view of two bins; the distinct ratio has ``n``
+    are grouped into ``MAGNITUDE_GROUPS`` of about equal share. The rows whose value few other loads have stay apart from the others, so a
+    tail of rare values that is replaced by another shows. The null rate is a view of two bins; the distinct ratio has ``n``
     distinct values with ``of`` rows by how often they occur. The result has some tens of rows a load, column and view.
     """
-    binned = histograms.filter(F.col("view").isin(VALUE, SIZE, LENGTH, FORM)).select("column_id", "view", "load_no", "bin", "n")
+    binned = histograms.filter(F.col("view").isin(VALUE, SIZE, LENGTH, FORM, SHARED)).select("column_id", "view", "load_no", "bin", "n")
     share = binned.withColumn("share", F.col("n") / F.sum("n").over(W.partitionBy("column_id", "view", "load_no")))
     loads = share.groupBy("column_id", "view").agg(F.count_distinct("load_no").alias("loads"))
     per_bin = (
@@ -277,7 +282,7 @@ def signals(histograms: DataFrame) -> DataFrame:
     )
     below = F.sum("mean").over(W.partitionBy("column_id", "view").orderBy("bin").rowsBetween(W.unboundedPreceding, 0)) - F.col("mean") / 2
     kept = (F.col("mean") >= COMMON_SHARE) | (F.coalesce(F.col("spike"), F.lit(0.0)) >= SPIKE_SHARE)
-    into = F.when(F.col("view") == SIZE, F.floor(below * MAGNITUDE_GROUPS)).otherwise(F.when(kept, F.col("bin")).otherwise(F.lit(-1_000_000)))
+    into = F.when(F.col("view") == SIZE, F.floor(below * MAGNITUDE_GROUPS)).when(F.col("view") == SHARED, F.col("bin")).otherwise(F.when(kept, F.col("bin")).otherwise(F.lit(-1_000_000)))
     grouped = binned.join(per_bin.select("column_id", "view", "bin", into.cast("bigint").alias("into")), ["column_id", "view", "bin"])
     mixes = grouped.groupBy("column_id", "view", "load_no", F.col("into").alias("bin")).agg(F.sum("n").alias("n")).withColumn("of", F.lit(None).cast("bigint"))
     profile = load_profiles(histograms)

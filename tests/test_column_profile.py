@@ -121,3 +121,12 @@ def test_a_hot_load_is_judged_on_its_distinct_ratio(spark, tmp_path):
     found = cp.TableProfiles({"t": spark.read.parquet(str(tmp_path / "t.parquet"))}, {"t": ["i"]}).histograms
     judged = cp.departing_loads(found).filter(cp.F.col("view") == cp.DISTINCT_RATIO).collect()
     assert [(r["column_id"], r["load_no"]) for r in judged] == [(0, 0)]
+
+
+def test_a_tail_of_other_values_of_the_same_size_and_form_shows(spark, tmp_path):
+    rng = random.Random(8)
+    value = lambda odd: 100_000 + 2 * rng.randrange(2000) + odd
+    rows = [(load, v := value(load == 4), 1.0, True, f"t{v}") for load in range(8) for _ in range(1500)]
+    pq.write_table(table_of(rows), tmp_path / "t.parquet")
+    departing = cp.TableProfiles({"t": spark.read.parquet(str(tmp_path / "t.parquet"))}, {"t": ["i", "s"]}).departures()
+    assert {(r["column_name"], r["load_no"]) for r in departing.collect()} == {("i", 4), ("s", 4)}
