@@ -1,12 +1,18 @@
 """Scores for abusive, hateful or sexual content.
 
-A model of ``moderation_model`` is fitted on the driver to labelled sentences and generated ones and sent to the executors (its size
-does not depend on the corpus). Every text is brought to plain tokens and cut into overlapping windows that together cover all of it;
-every window is scored, and the text has the score of its worst window.
+Models of ``moderation_model`` are fitted, one task each, to labelled sentences and generated ones, and kept in the shared folder under a
+key of what they were fitted to; their mean is the score. Nothing is learnt from the corpus, so a text's score does not depend on what
+other texts there are. Every text is brought to plain tokens and cut into overlapping windows that together cover all of it; every
+window is scored, and the text has the score of its worst window.
 """
 
 from __future__ import annotations
 
+import base64
+import hashlib
+import inspect
+import json
+import os
 import random
 from collections import Counter
 from collections.abc import Iterator, Sequence
@@ -14,21 +20,26 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pathlume.llm.moderation_model import LABELS, Model, Shape, train
-from pathlume.llm.moderation_phrases import generated
-from pathlume.llm.moderation_text import Segmenter, tokens
-from pathlume.sources.workspace import written
+from pathlume.llm import moderation_contrasts, moderation_model, moderation_phrases, moderation_text
+from pathlume.llm.moderation_model import LABELS, Model, Shape, from_bytes, to_bytes, train
+from pathlume.llm.moderation_phrases import LANGUAGES, generated, is_rude
+from pathlume.llm.moderation_text import STRETCH, Segmenter, tokens
+from pathlume.sources.workspace import path_exists, shared_folder
 
 WINDOW, STRIDE = 16, 1
 #: Labelled rows used at most; where there are more, those with the least hash of their text.
 MAX_LABELLED = 20_000
-GENERATED = 9_000
-COMMON_WINDOWS = 5_000
+GENERATED = 14_000
 LABELLED_COPIES = 6
+SEEDS = (1, 2, 3, 4)
 THRESHOLD = 0.5
+#: Windows scored together at most, and the texts read for them; they change no score.
+BLOCK = 100_000
+
+Labelled = tuple[str, str, str | None]  # text, label, language
 
 
 def windows_of(found: list[str], size: int = WINDOW, stride: int = STRIDE) -> list[list[str]]:
@@ -39,119 +50,92 @@ def windows_of(found: list[str], size: int = WINDOW, stride: int = STRIDE) -> li
     return [found[s : s + size] for s in starts]
 
 
-@dataclass(frozen=True)
-class CommonWording:
-    """Word triples that many texts of a language share, by language, with the share of texts. Drawn from all texts of a corpus."""
-
-    triples: dict[str, dict[tuple[str, str, str], float]]
-
-    def writer(self, rng: random.Random):
-        """A function that writes token lists of a given length in a random language, following the triples from pair to pair."""
-        chains = {}
-        for language, found in self.triples.items():
-            after: dict[tuple[str, str], list[tuple[str, float]]] = {}
-            for (a, b, c), share in sorted(found.items()):
-                after.setdefault((a, b), []).append((c, share))
-            names = sorted(found)
-            chains[language] = (names, [found[t] ** 0.5 for t in names], after)
-
-        def write(length: int, language: str | None = None) -> list[str]:
-            if not chains:
-                return []
-            names, weights, after = chains[language] if language in chains else chains[rng.choice(sorted(chains))]
-            out: list[str] = []
-            while len(out) < length:
-                follow = after.get(tuple(out[-2:])) if rng.random() < 0.95 else None
-                if follow:
-                    out.append(rng.choices([c for c, _ in follow], [s for _, s in follow])[0])
-                else:
-                    out += rng.choices(names, weights)[0]
-            return out[:length]
-
-        return write
-
-
-LEAST_SHARE, LEAST_TEXTS = 0.015, 6
-
-
-def language_of(tag: pd.Series) -> pd.Series:
-    """Two letters of a language tag, whatever its spelling; ``xx`` for none."""
-    return tag.fillna("").str.strip().str.lower().str[:2].replace("", "xx")
-
-
-def _marked(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Texts that have tokens, with a key that copies share whatever their case, markup, figures, disguises and ``!`` and ``?``."""
-    for batch in batches:
-        rows = [(text, lang, of, " ".join(w for w in found if w not in "!?")) for text, lang, of in zip(batch["text"], batch["lang"], language_of(batch["lang"])) if (found := tokens(text))]
-        frame = pd.DataFrame(rows, columns=["text", "lang", "language", "key"], dtype=object)
-        yield frame.assign(key=pd.util.hash_array(frame["key"].to_numpy()).view(np.int64))
-
-
-def one_of_each(documents: DataFrame) -> DataFrame:
-    """``text, lang``: each normalised text once a language. Texts without tokens are left out. Edited copies with other words stay."""
-    marked = documents.select("text", "lang").mapInPandas(_marked, "text string, lang string, language string, key bigint")
-    return marked.groupBy("language", "key").agg(F.min("text").alias("text"), F.min("lang").alias("lang")).select("text", "lang")
-
-
-def _triples(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Per language: the number of texts (empty triple) and of texts with each triple."""
-    counts: Counter = Counter()
-
-    def flushed():
-        frame = pd.DataFrame([(k[0], k[1], n) for k, n in counts.items()], columns=["language", "triple", "n"])
-        counts.clear()
-        return frame
-
-    for batch in batches:
-        for text, language in zip(batch["text"], language_of(batch["lang"])):
-            found = tokens(text)
-            if not found:
+def agreed(labelled: Sequence[Labelled]) -> list[Labelled]:
+    """The labelled rows, less those whose label fewer rows of the same normalised text have than another label, and less texts whose labels
+    tie between harmful and harmless. Rows without text or with an unknown label are left out."""
+    known = [(t, label, lang) for t, label, lang in labelled if label in LABELS and t]
+    wording = {t: tuple(w for w in tokens(t) if w not in "!?") for t, _, _ in known}
+    votes: dict[tuple, Counter] = {}
+    for text, label, _ in known:
+        votes.setdefault(wording[text], Counter())[label] += 1
+    most = {key: {label for label, n in found.items() if n == max(found.values())} for key, found in votes.items()}
+    return [row for row in known if row[1] in (best := most[wording[row[0]]]) and not ("none" in best and len(best) > 1)]
+
+
+def families(labelled: Sequence[Labelled], alike: float = 0.5) -> list[int]:
+    """A number for each row, the same for rows that share ``alike`` of their words, directly or over others: copies and fillings of one
+    pattern. Compares rows by pairs, so it is for labelled sets (of at most ``MAX_LABELLED`` rows, distinct texts once)."""
+    texts = sorted({t for t, _, _ in labelled})
+    words = [frozenset(tokens(t)) - {"!", "?"} for t in texts]
+    group = list(range(len(texts)))
+    having: dict[str, list[int]] = {}
+
+    def root(i: int) -> int:
+        while group[i] != i:
+            group[i] = group[group[i]]
+            i = group[i]
+        return i
+
+    for i, a in enumerate(words):
+        shared: Counter = Counter(j for w in a for j in having.get(w, ()))
+        for j, n in shared.items():
+            if n >= alike * (len(a) + len(words[j]) - n):
+                group[root(i)] = root(j)
+        for w in a:
+            having.setdefault(w, []).append(i)
+    place = {t: root(i) for i, t in enumerate(texts)}
+    return [place[t] for t, _, _ in labelled]
+
+
+def folds_of(labelled: Sequence[Labelled], folds: int) -> list[int]:
+    """A fold for each row; a family is never in two."""
+    first: dict[int, str] = {}
+    for g, (text, _, _) in zip(of := families(labelled), labelled):
+        first[g] = min(text, first.get(g, text))
+    return [int(hashlib.md5(first[g].encode()).hexdigest(), 16) % folds for g in of]
+
+
+def confirmed(labelled: Sequence[Labelled], held_out: Sequence[float], least: float = 0.15) -> list[Labelled]:
+    """The rows less those that nothing supports: no other row of their family has their label, and a model that saw no row of it gives
+    their side (harmful or not; ``held_out`` has the harmful score) less than ``least``."""
+    votes: dict[int, Counter] = {}
+    for g, (_, label, _) in zip(of := families(labelled), labelled):
+        votes.setdefault(g, Counter())[label != "none"] += 1
+    return [row for row, g, score in zip(labelled, of, held_out) if votes[g][row[1] != "none"] > 1 or (score if row[1] != "none" else 1 - score) >= least]
+
+
+def vocabulary_words(path: str) -> list[list[str]]:
+    """The tokens of a public tokenizer's vocabulary file (base64 and rank a line) that are letters only, as plain tokens, rude ones left
+    out: ordinary words of many languages. Without the file there are none."""
+    if not os.path.exists(path):
+        return []
+    out = set()
+    with open(path, "rb") as file:
+        for line in file:
+            try:
+                word = base64.b64decode(line.split()[0]).decode("utf-8").strip().lower()
+            except UnicodeDecodeError:
                 continue
-            counts[language, ""] += 1
-            for triple in {" ".join(t) for t in zip(found, found[1:], found[2:])}:
-                counts[language, triple] += 1
-        if len(counts) > 300_000:
-            yield flushed()
-    yield flushed()
+            if len(word) > 1 and word.isalpha() and not is_rude(word):
+                out.add(tuple(tokens(word)))
+    return [list(w) for w in sorted(out) if w]
 
 
-def common_wording(documents: DataFrame, least_share: float = LEAST_SHARE, least_texts: int = LEAST_TEXTS) -> CommonWording:
-    """Triples in at least ``least_share`` of a language's texts, counted over all ``documents`` (``text``, ``lang``). Copies count like
-    other texts: for wording that many texts share and not one text copied, give ``one_of_each`` of them.
-
-    What reaches the driver is bounded: at most 1 / ``least_share`` times the mean number of triples of a text, for each language
-    that at least ``least_texts`` texts have. Rare wording, harmful or not, is no part of it.
-    """
-    counted = documents.select("text", "lang").mapInPandas(_triples, "language string, triple string, n bigint").groupBy("language", "triple").agg(F.sum("n").alias("n"))
-    counted = written(counted.filter((F.col("triple") == "") | (F.col("n") >= least_texts)), "wording")
-    texts = counted.filter("triple = ''").select("language", F.col("n").alias("texts"))
-    rows = counted.filter("triple != ''").filter(F.col("n") >= least_texts).join(F.broadcast(texts), "language").filter(F.col("n") >= F.col("texts") * least_share).collect()
-    found: dict[str, dict[tuple[str, str, str], float]] = {}
-    for r in rows:
-        found.setdefault(r["language"], {})[tuple(r["triple"].split(" "))] = r["n"] / r["texts"]
-    return CommonWording(found)
-
+class Speller:
+    """Makes up words in the manner of a language, letter by letter after the two before, from harmless words of it."""
 
-def without_harmful(wording: CommonWording, harmful: Sequence[list[str]], harmless: Sequence[list[str]]) -> CommonWording:
-    """The wording less the triples that labelled harmful sentences have and harmless ones have not."""
-    of = lambda texts: {t for x in texts for t in zip(x, x[1:], x[2:])}
-    gone = of(harmful) - of(harmless)
-    return CommonWording({k: left for k, v in wording.triples.items() if (left := {t: n for t, n in v.items() if t not in gone})})
+    def __init__(self, words: Sequence[str]):
+        self.after: dict[str, list[str]] = {}
+        for w in words:
+            marked = f"^^{w}$"
+            for i in range(2, len(marked)):
+                self.after.setdefault(marked[i - 2 : i], []).append(marked[i])
 
-
-def plausible(labelled: Sequence[tuple[str, str, str]], wording: CommonWording, most_common: float = 0.5) -> list[tuple[str, str, str]]:
-    """The labelled rows less those called harmful once although more than ``most_common`` of their triples are common wording: labels that
-    may be wrong."""
-    common = {t for found in wording.triples.values() for t in found}
-
-    def ordinary(text: str) -> bool:
-        found = tokens(text)
-        triples = list(zip(found, found[1:], found[2:]))
-        return bool(triples) and sum(t in common for t in triples) > most_common * len(triples)
-
-    harmful: Counter = Counter(t for t, label, _ in labelled if label != "none")
-    wrong = {t for t, n in harmful.items() if n == 1 and t and ordinary(t)}
-    return [row for row in labelled if row[1] == "none" or row[0] not in wrong]
+    def word(self, rng: random.Random) -> str:
+        out = "^^"
+        while len(out) < 20 and (c := rng.choice(self.after.get(out[-2:]) or "$")) != "$":
+            out += c
+        return out[2:] or "a"
 
 
 def gibberish(rng: random.Random) -> list[str]:
@@ -161,49 +145,91 @@ def gibberish(rng: random.Random) -> list[str]:
     return [word() if rng.random() < 0.8 else noise() for _ in range(rng.choice((1, 1, 2, 3, 8, 16)))]
 
 
+_ACCENTS = {"a": "áàâã", "e": "éèêë", "i": "íìî", "o": "óòôõ", "u": "úùûü"}
+
+
 def _typo(word: str, rng: random.Random) -> str:
     i = rng.randrange(len(word) - 1)
     kind = rng.random()
-    if kind < 0.4:
+    if kind < 0.25 and any(c in _ACCENTS for c in word):
+        return "".join(rng.choice(_ACCENTS[c]) if c in _ACCENTS and rng.random() < 0.6 else c for c in word)
+    if kind < 0.5:
         return word[:i] + word[i + 1] + word[i] + word[i + 2 :]
-    return word[:i] + word[i] + word[i:] if kind < 0.7 else word[:i] + word[i + 1 :]
+    return word[:i] + word[i] + word[i:] if kind < 0.75 else word[:i] + word[i + 1 :]
 
 
-def training_set(labelled: Sequence[tuple[str, str, str]], wording: CommonWording, n_generated: int, n_common: int, copies: int, seed: int) -> list[tuple[list[str], int]]:
-    """Token windows with class numbers: each sentence alone or within harmless ones of its language, cut to a window that keeps it;
-    and ``n_common`` windows of the corpus's common wording, which is taken to be harmless."""
+def training_set(labelled: Sequence[Labelled], n_generated: int, copies: int, seed: int, words: Sequence[list[str]] = ()) -> list[tuple[list[str], int]]:
+    """Token windows with class numbers. A harmful sentence comes alone or within harmless ones, cut to a window that keeps it. Harmless
+    sentences come alone, several in a row and cut anywhere, down to a word or two, as windows of real texts are. Words that are not harmful
+    by themselves are no sign of harm: ``words`` (ordinary ones), made-up ones and the ordinary ones of harmful sentences come in harmless
+    windows, and so do stretches of harmless sentences in any order."""
     rng = random.Random(seed)
-    sentences = [(t, label, (lang or "en").strip().lower()[:2]) for t, label, lang in labelled if label in LABELS and t] * copies + generated(n_generated, seed)
-    harmless: dict[str, list[list[str]]] = {}
+    sentences = [(t, label, (lang or "en").strip().lower()[:2]) for t, label, lang in labelled] * copies + generated(n_generated, seed)
     cut = {t: tokens(t) for t in {s[0] for s in sentences}}
+    harmless: dict[str, list[list[str]]] = {}
     for text, label, lang in sentences:
         if label == "none":
             harmless.setdefault(lang, []).append(cut[text])
-    wording = without_harmful(wording, [cut[t] for t, label, _ in sentences if label != "none"], [x for xs in harmless.values() for x in xs])
-    write = wording.writer(rng)
     everywhere = [x for _, xs in sorted(harmless.items()) for x in xs] or [[]]
+    ordinary = {lang: sorted({w for t, label, of in sentences if label != "none" and of == lang for w in cut[t] if w.isalpha() and not is_rude(w, lang)}) for lang in LANGUAGES}
+    speakers = {lang: Speller(sorted({w for x in xs for w in x if w.isalpha()})) for lang, xs in sorted(harmless.items())}
+
+    def unheard(found: list[str], lang: str, share: float) -> list[str]:
+        """Some words replaced by made-up ones: what is unknown is no sign of harm."""
+        out = []
+        for w in found:
+            if w.isalpha() and rng.random() < share and lang in speakers:
+                out += rng.choice(words) if words and rng.random() < 0.5 else [speakers[lang].word(rng)]
+            else:
+                out.append(w)
+        return out
+
+    def salad(lang: str) -> list[str]:
+        """Stretches of harmless sentences in any order."""
+        out: list[str] = []
+        while len(out) < WINDOW:
+            x = rng.choice(harmless.get(lang) or everywhere)
+            i = rng.randrange(max(1, len(x)))
+            out += x[i : i + rng.randint(1, 5)] or ["a"]
+            if words and rng.random() < 0.4:
+                out += [w for _ in range(rng.randint(1, 4)) for w in rng.choice(words)]
+            if ordinary.get(lang) and rng.random() < 0.4:
+                out.append(rng.choice(ordinary[lang]))
+        return out[: rng.choice((WINDOW, WINDOW, WINDOW, rng.randint(1, WINDOW)))]
 
     def around(lang: str) -> list[str]:
         if rng.random() < 0.35:
             return []
-        if wording.triples and rng.random() < 0.7:
-            return write(rng.randint(2, 12), lang if rng.random() < 0.9 else None)
-        return [w for _ in range(rng.choice((1, 1, 2))) for w in rng.choice(harmless.get(lang) or everywhere)]
+        if rng.random() < 0.05:
+            return gibberish(rng)
+        own = (harmless.get(lang) if rng.random() < 0.95 else None) or everywhere
+        words = [w for _ in range(rng.choice((1, 1, 2, 3))) for w in rng.choice(own)]
+        return unheard(words, lang, rng.choice((0.1, 0.3))) if rng.random() < 0.3 else words
+
+    def dirtied(core: list[str], harmful: bool) -> list[str]:
+        core = [_typo(w, rng) if len(w) > 4 and rng.random() < 0.08 else w for w in core]
+        if rng.random() < (0.06 if harmful else 0.03):
+            core = [f"{w[0]}*{w[-1] if rng.random() < 0.7 else ''}" if len(w) > 3 and rng.random() < 0.4 else w for w in core]
+        return [w for w in core if w not in "!?"] if rng.random() < 0.3 else core
 
     out = []
     for text, label, lang in sentences:
-        core = [_typo(w, rng) if len(w) > 4 and rng.random() < 0.08 else w for w in cut[text]]
-        if rng.random() < (0.06 if label != "none" else 0.01):
-            core = [f"{w[0]}*{w[-1] if rng.random() < 0.7 else ''}" if len(w) > 3 and rng.random() < 0.4 else w for w in core]
-        if rng.random() < 0.3:
-            core = [w for w in core if w not in "!?"]
+        core = dirtied(cut[text], label != "none")
+        if label == "none" and rng.random() < 0.35:
+            core = unheard(core, lang, rng.choice((0.1, 0.3, 0.6, 1.0)))
+        if label == "none" and rng.random() < 0.03:
+            core = ["".join(w for w in core if w.isalpha())[:STRETCH] or "a"]  # words run together that no cutting parts
         before, after = around(lang), around(lang)
         whole = before + core + after
         low, high = max(0, len(before) + len(core) - WINDOW), min(len(before), max(0, len(whole) - WINDOW))
         start = rng.randint(min(low, high), max(low, high)) if len(whole) > WINDOW else 0
         out.append((whole[start : start + WINDOW], LABELS.index(label)))
-    out += [(write(rng.randint(3, WINDOW)), 0) for _ in range(n_common if wording.triples else 0)]
-    out += [(gibberish(rng), 0) for _ in range(n_common // 6)]
+        if label == "none" and rng.random() < 0.6:
+            start = rng.randrange(max(1, len(whole)))
+            out.append((whole[start : start + (WINDOW if rng.random() < 0.7 else rng.randint(1, 5))], 0))
+    languages = [lang for _, _, lang in sentences]
+    out += [(gibberish(rng), 0) for _ in range(n_generated // 20)]
+    out += [(salad(rng.choice(languages)), 0) for _ in range(n_generated // 4)]
     return out
 
 
@@ -215,52 +241,122 @@ class Moderator:
     segmenter: Segmenter
 
     def scores(self, texts: Sequence[str | None]) -> np.ndarray:
-        """(texts, classes): of each text the class probabilities of its worst window; ``none`` for texts without tokens."""
-        owner, at, seen = [], [], {}  # windows that occur again are scored once
-        for i, text in enumerate(texts):
-            for w in windows_of(self.segmenter.tokens(text)):
-                owner.append(i)
-                at.append(seen.setdefault(tuple(w), len(seen)))
-        windows = [list(w) for w in seen]
+        """(texts, classes): of each text the class probabilities of its worst window; ``none`` for texts without tokens.
+
+        Windows are scored in blocks, equal ones of a block once; a long text spans several blocks.
+        """
         out = np.zeros((len(texts), len(LABELS)))
         out[:, 0] = 1
-        if windows:
-            p = np.mean([m.scores(windows) for m in self.models], axis=0)[at]
-            owner = np.array(owner)
-            for k in np.argsort(-p[:, 0], kind="stable"):  # the least harmless window comes last and stays
-                out[owner[k]] = p[k]
+        words: dict[str, int] = {}
+        windows, owners, held = [], [], 0
+
+        def flush() -> None:
+            nonlocal words, windows, owners, held
+            if held:
+                unique, at = np.unique(np.concatenate(windows), axis=0, return_inverse=True)
+                p = np.mean([m.scores_at(list(words), unique) for m in self.models], axis=0)[at.reshape(-1)]
+                owner = np.concatenate(owners)
+                order = np.argsort(-p[:, 0], kind="stable")  # the least harmless window comes last and stays
+                worst = np.full(len(texts), -1)
+                worst[owner[order]] = order
+                for i in np.unique(owner):
+                    if p[worst[i], 0] < out[i, 0]:
+                        out[i] = p[worst[i]]
+            words, windows, owners, held = {}, [], [], 0
+
+        for i, text in enumerate(texts):
+            found = self.segmenter.tokens(text)
+            for start in range(0, len(found), BLOCK):  # blocks of a long text share a window's length
+                part = found[max(0, start - WINDOW + 1) : start + BLOCK]
+                ids = np.array([words.setdefault(t, len(words)) for t in part], dtype=np.int32)
+                if len(ids) < WINDOW:
+                    ids = np.pad(ids, (0, WINDOW - len(ids)), constant_values=-1)
+                own = np.lib.stride_tricks.sliding_window_view(ids, WINDOW)
+                windows.append(own)
+                owners.append(np.full(len(own), i))
+                held += len(own)
+                if held >= BLOCK:
+                    flush()
+        flush()
         return out
 
 
-def fit(
-    labelled: Sequence[tuple[str, str, str]],
-    wording: CommonWording = CommonWording({}),
-    seeds: Sequence[int] = (1,),
-    epochs: int = 5,
-    n_generated: int = GENERATED,
-    n_common: int = COMMON_WINDOWS,
-    copies: int = LABELLED_COPIES,
-    shape: Shape = Shape(),
-) -> Moderator:
-    """A moderator from (text, label, language) rows and the common wording of the corpus it will read. Repeated rows weigh more; rows
-    without text or with an unknown label are left out. Rows called harmful whose wording is common are no evidence for it being harmless,
-    and count as soon as the model, trained on the others, does not find them harmless."""
-    labelled = [row for row in labelled if row[1] in LABELS and row[0]]
-    likely = set(plausible(labelled, wording))
-    doubtful = {i for i, row in enumerate(labelled * copies) if row not in likely}
-    models, counts = [], {}
-    for seed in seeds:
-        examples = training_set(labelled, wording, n_generated, n_common, copies, seed)
-        for text, _ in examples:
-            for w in text:
-                counts[w] = counts.get(w, 0) + 1
-        models.append(train(examples, shape, seed=seed, epochs=epochs, doubtful=doubtful))
+def _segmenter(labelled: Sequence[Labelled], n_generated: int, seed: int) -> Segmenter:
+    """Cuts by the words of the sentences fitted to, by their frequency."""
+    counts: Counter = Counter(w for text, _, _ in [*labelled, *generated(n_generated, seed)] for w in tokens(text))
     total = sum(counts.values())
-    known = {w: -float(np.log(n / total)) for w, n in counts.items() if n >= 3 and w.isalpha() and (len(w) > 1 or w in ("a", "i", "y", "e", "o", "à", "é"))}
-    return Moderator(models, Segmenter(known))
+    return Segmenter({w: -float(np.log(n / total)) for w, n in counts.items() if n >= 3 and w.isalpha() and (len(w) > 1 or w in ("a", "i", "y", "e", "o", "à", "é"))})
+
+
+@dataclass(frozen=True)
+class Settings:
+    """Of fitting: models (by seed), passes, generated sentences, copies of each labelled row, and folds for doubting labels (0: none)."""
+
+    seeds: tuple[int, ...] = SEEDS
+    epochs: int = 5
+    n_generated: int = GENERATED
+    copies: int = LABELLED_COPIES
+    folds: int = 4
+    shape: Shape = Shape()
+    vocabulary: str = "/opt/tokenizers/byte_bpe_multi_50k.tiktoken"
+
+
+def _fit_one(labelled: Sequence[Labelled], seed: int, how: Settings) -> Model:
+    return train(training_set(labelled, how.n_generated, how.copies, seed, vocabulary_words(how.vocabulary)), how.shape, seed=seed, epochs=how.epochs)
+
+
+def held_out_scores(labelled: Sequence[Labelled], fold: int, how: Settings) -> list[tuple[int, float]]:
+    """(row, harmful score) of the rows of a fold, by a model that saw no row of their families."""
+    of = folds_of(labelled, how.folds)
+    seen, mine = [r for r, f in zip(labelled, of) if f != fold], [i for i, f in enumerate(of) if f == fold]
+    model = Moderator([_fit_one(seen, how.seeds[0], how)], _segmenter(seen, how.n_generated, how.seeds[0]))
+    return [(i, float(1 - p)) for i, p in zip(mine, model.scores([labelled[i][0] for i in mine])[:, 0])]
+
+
+def _in_order(pairs: Sequence[tuple[int, float]]) -> list[float]:
+    return [score for _, score in sorted(pairs)]
+
+
+def fit(labelled: Sequence[Labelled], how: Settings = Settings(seeds=(1,), folds=0)) -> Moderator:
+    """A moderator from (text, label, language) rows, on this machine. Repeated rows weigh more."""
+    labelled = agreed(labelled)
+    if how.folds:
+        labelled = confirmed(labelled, _in_order([x for k in range(how.folds) for x in held_out_scores(labelled, k, how)]))
+    return Moderator([_fit_one(labelled, s, how) for s in how.seeds], _segmenter(labelled, how.n_generated, how.seeds[0]))
+
+
+def fitted(spark: SparkSession, labelled: Sequence[Labelled], how: Settings = Settings()) -> Moderator:
+    """The same, one model a task. The models are saved in the shared folder under a key of the rows, the settings and the sources of this
+    subpackage, and read from there the next time. Some megabytes reach the driver, whatever the corpus."""
+    labelled = agreed(labelled)
+    sources = [inspect.getsource(m) for m in (moderation_model, moderation_phrases, moderation_contrasts, moderation_text, inspect.getmodule(training_set))]
+    key = hashlib.sha256(repr((labelled, how, sources)).encode()).hexdigest()[:24]
+    path = f"{shared_folder(spark)}/pathlume/moderation-{key}"
+    tasks = lambda n: spark.range(0, n, 1, max(1, n))
+
+    def scored(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            yield pd.DataFrame([x for k in batch["id"] for x in held_out_scores(labelled, int(k), how)], columns=["place", "score"])
+
+    def saved(kept: list[Labelled]):
+        def models(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            for batch in batches:
+                for i in batch["id"]:
+                    yield pd.DataFrame({"place": [int(i)], "kept": [json.dumps(kept)], "model": [to_bytes(_fit_one(kept, how.seeds[int(i)], how))]})
+
+        return models
+
+    schema = "place int, kept string, model binary"
+    if not path_exists(spark, f"{path}/_SUCCESS"):
+        kept = labelled
+        if how.folds and labelled:
+            kept = confirmed(labelled, _in_order([tuple(r) for r in tasks(how.folds).mapInPandas(scored, "place int, score double").collect()]))
+        tasks(len(how.seeds)).mapInPandas(saved(kept), schema).write.mode("overwrite").parquet(path)
+    rows = sorted(spark.read.schema(schema).parquet(path).collect(), key=lambda r: r["place"])
+    return Moderator([from_bytes(r["model"]) for r in rows], _segmenter([tuple(r) for r in json.loads(rows[0]["kept"])], how.n_generated, how.seeds[0]))
 
 
-def labelled_rows(examples: DataFrame, most: int = MAX_LABELLED) -> list[tuple[str, str, str]]:
+def labelled_rows(examples: DataFrame, most: int = MAX_LABELLED) -> list[Labelled]:
     """At most ``most`` labelled rows, chosen by hash, in a fixed order."""
     rows = examples.select("sample_text", "label", "lang").dropna(subset=["sample_text", "label"]).orderBy(F.xxhash64("sample_text"), "sample_text", "label", "lang").limit(most)
     return [tuple(r) for r in rows.collect()]
@@ -280,8 +376,7 @@ def score_column(df: DataFrame, text: str, moderator: Moderator, prefix: str = "
     @F.pandas_udf("score double, category string")
     def scored(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         for texts in batches:
-            rows = texts.tolist()
-            p = np.concatenate([shared.value.scores(rows[i : i + 512]) for i in range(0, len(rows), 512)]) if rows else np.zeros((0, len(LABELS)))
+            p = shared.value.scores(texts.tolist())
             score = 1 - p[:, 0]
             category = np.where(score >= THRESHOLD, np.array(LABELS, dtype=object)[1 + p[:, 1:].argmax(axis=1)] if len(p) else np.array([], dtype=object), "none")
             yield pd.DataFrame({"score": np.round(score, 6), "category": category}, index=texts.index)

@@ -8,9 +8,11 @@ so the same examples give the same model.
 
 from __future__ import annotations
 
+import io
+import json
 import zlib
-from collections.abc import Collection, Sequence
-from dataclasses import dataclass, field
+from collections.abc import Sequence
+from dataclasses import asdict, dataclass, field
 
 import numpy as np
 
@@ -25,17 +27,14 @@ class Shape:
     attention: int = 32
     buckets: int = 16_384
     grams: tuple[int, ...] = (2, 3, 4, 5)
-    max_grams: int = 48
 
 
 def char_grams(word: str, shape: Shape) -> np.ndarray:
-    """Buckets of a word's character n-grams, its borders marked; long words are covered by their evenly spread n-grams."""
+    """Buckets of all of a word's character n-grams, its borders marked."""
     marked = f"<{word}>"
     found = [zlib.crc32(marked[i : i + n].encode()) % shape.buckets for n in shape.grams for i in range(len(marked) - n + 1)]
     if not found:
         found = [zlib.crc32(marked.encode()) % shape.buckets]
-    if len(found) > shape.max_grams:
-        found = [found[int(i)] for i in np.linspace(0, len(found) - 1, shape.max_grams)]
     return np.array(found, dtype=np.int64)
 
 
@@ -132,22 +131,29 @@ class Model:
             row = self._rows[word] = np.concatenate([x @ self.p["ahead.W"] + self.p["ahead.b"], x @ self.p["back.W"] + self.p["back.b"]])
         return row
 
-    def scores(self, windows: list[list[str]], batch: int = 1024) -> np.ndarray:
+    def scores(self, windows: list[list[str]]) -> np.ndarray:
         """Class probabilities (windows, classes). A window without tokens is ``none``."""
-        out = np.zeros((len(windows), len(LABELS)), dtype=np.float32)
+        words: dict[str, int] = {}
+        at = np.full((len(windows), max(map(len, windows), default=0)), -1, dtype=np.int32)
+        for i, w in enumerate(windows):
+            at[i, : len(w)] = [words.setdefault(t, len(words)) for t in w]
+        return self.scores_at(list(words), at)
+
+    def scores_at(self, words: list[str], at: np.ndarray, batch: int = 2048) -> np.ndarray:
+        """The same for windows given as places in ``words``, -1 beyond the end of a window."""
+        out = np.zeros((len(at), len(LABELS)), dtype=np.float32)
         out[:, 0] = 1
-        order = sorted((i for i, w in enumerate(windows) if w), key=lambda i: len(windows[i]))
-        h3 = 3 * self.shape.hidden
+        if not words:
+            return out
+        rows = np.stack([self._row(w) for w in words])
+        length = (at >= 0).sum(axis=1)
+        order = np.argsort(length, kind="stable")
+        order = order[length[order] > 0]
         for start in range(0, len(order), batch):
             chosen = order[start : start + batch]
-            time = len(windows[chosen[-1]])
-            projected = np.zeros((len(chosen), time, 2 * h3), dtype=np.float32)
-            mask = np.zeros((len(chosen), time), dtype=np.float32)
-            for k, i in enumerate(chosen):
-                w = windows[i]
-                projected[k, : len(w)] = [self._row(t) for t in w]
-                mask[k, : len(w)] = 1
-            out[chosen] = self._head(projected, mask)[0]
+            places = at[chosen, : length[chosen[-1]]]
+            mask = (places >= 0).astype(np.float32)
+            out[chosen] = self._head(rows[places], mask)[0]
         return out
 
     def _head(self, projected: np.ndarray, mask: np.ndarray, keep: bool = False):
@@ -252,19 +258,16 @@ def train(
     examples: Sequence[tuple[list[str], int]],
     shape: Shape = Shape(),
     seed: int = 1,
-    epochs: int = 8,
-    batch: int = 64,
-    rate: float = 0.004,
+    epochs: int = 6,
+    batch: int = 96,
+    rate: float = 0.005,
     decay: float = 0.003,
     word_drop: float = 0.35,
     gram_drop: float = 0.15,
     smoothing: float = 0.03,
     min_word_count: int = 2,
-    doubtful: Collection[int] = (),
 ) -> Model:
-    """Fit a model to tokenised examples with class numbers. From half-way on, examples the model finds clearly mislabelled count nothing.
-    The ``doubtful`` ones (by place) count from half-way on, where the model does not find them harmless."""
-    doubted = np.array([i in doubtful for i, e in enumerate(examples) if e[0]], dtype=bool)
+    """Fit a model to tokenised examples with class numbers. From half-way on, examples the model finds clearly mislabelled count nothing."""
     examples = [e for e in examples if e[0]]
     if not examples:
         raise ValueError("no examples to fit to")
@@ -275,7 +278,7 @@ def train(
     model = Model.fresh(shape, sorted(w for w, n in counts.items() if n >= min_word_count), seed)
     rng = np.random.default_rng(seed)
     adam = Adam(model.p, rate, decay)
-    weights = np.where(doubted, 0, 1).astype(np.float32)
+    weights = np.ones(len(examples), dtype=np.float32)
     steps = epochs * -(-len(examples) // batch)
     done = 0
     for epoch in range(epochs):
@@ -290,9 +293,22 @@ def train(
             target[np.arange(len(chosen)), label] += 1 - smoothing
             _, probability, g = model.gradients([examples[k][0] for k in chosen], target, weights[chosen], rng, word_drop, gram_drop)
             if epoch >= epochs // 2:
-                wrong = np.where(doubted[chosen], probability[:, 0] > 0.5, probability[np.arange(len(chosen)), label] < 0.05)
-                weights[chosen] = np.where(wrong, 0.0, 1.0)
+                weights[chosen] = np.where(probability[np.arange(len(chosen)), label] < 0.05, 0.0, 1.0)
             adam.step(g, scale=max(0.05, 1 - done / steps))
             done += 1
     model._grams.clear()
     return model
+
+
+def to_bytes(model: Model) -> bytes:
+    """A model as one file."""
+    out = io.BytesIO()
+    np.savez_compressed(out, words=np.frombuffer("\n".join(model.words).encode(), dtype=np.uint8), shape=np.frombuffer(json.dumps(asdict(model.shape)).encode(), dtype=np.uint8), **{f"p.{k}": v for k, v in model.p.items()})
+    return out.getvalue()
+
+
+def from_bytes(data: bytes) -> Model:
+    with np.load(io.BytesIO(data)) as kept:
+        shape = json.loads(kept["shape"].tobytes())
+        words = kept["words"].tobytes().decode().split("\n")
+        return Model(Shape(**{**shape, "grams": tuple(shape["grams"])}), {w: i + 1 for i, w in enumerate(words)}, {k[2:]: kept[k] for k in kept.files if k.startswith("p.")})

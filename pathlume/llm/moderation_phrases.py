@@ -10,6 +10,9 @@ from __future__ import annotations
 
 import random
 import re
+from functools import cache
+
+from pathlume.llm.moderation_contrasts import KIND_SHARES, KINDS, RUDE, WORDS, made_up, made_up_people
 
 SLOT = re.compile(r"\{(\w+)\}")
 
@@ -77,9 +80,9 @@ LANGUAGES: dict[str, dict[str, list[str]]] = {
         "item": "Die Lampe,Der Koffer,Das Zelt,Die Uhr,Die Tasche,Der Mixer,Das Kissen,Die Pfanne,Die Jacke,Der Stuhl,Das Radio".split(","),
         "fine": "leicht,stabil,hell,schön,leise,bequem,praktisch,warm,robust,ordentlich verarbeitet".split(","),
         "fault": "kaputt,undicht,laut,schief,billig,wackelig,klebrig,scheiße,hässlich,beschädigt,viel zu teuer".split(","),
-        "abusive": ["Du {bad} {insult}.", "Du bist ein {bad} {insult}.", "{who} ist ein {bad} {insult}.", "Halt dein Maul, du {insult}.", "Halt die Schnauze.", "Fick dich, du {insult}.", "Fickt euch alle.", "Verpiss dich, {insult}.", "Verrecke, du {insult}.", "Ich hoffe, {who} verreckt.", "Ich bringe dich um.", "Dir gehört eine aufs Maul.", "Ich schlage dir die Fresse ein.", "{who} gehört erschossen.", "Geh sterben, du {insult}.", "Ihr seid alle Vollidioten.", "Wer das kauft, ist ein {insult}.", "Deine Mutter ist eine Hure.", "{who} hat nur Stroh im Kopf.", "Leck mich am Arsch, du {insult}.", "{who} ist zu blöd zum Atmen.", "Häng dich auf.", "Schäm dich, dass es dich gibt.", "Dich sollte man einsperren, du {insult}."],
+        "abusive": ["Du {bad} {insult}.", "Du bist ein {bad} {insult}.", "{who} ist ein {bad} {insult}.", "Halt dein Maul, du {insult}.", "Halt die Schnauze.", "Fick dich, du {insult}.", "Fickt euch alle.", "Du hast wohl den Verstand verloren, {insult}.", "Lern erst mal lesen, du {insult}.", "Verpiss dich, {insult}.", "Verrecke, du {insult}.", "Ich hoffe, {who} verreckt.", "Ich bringe dich um.", "Dir gehört eine aufs Maul.", "Ich schlage dir die Fresse ein.", "{who} gehört erschossen.", "Geh sterben, du {insult}.", "Ihr seid alle Vollidioten.", "Wer das kauft, ist ein {insult}.", "Deine Mutter ist eine Hure.", "{who} hat nur Stroh im Kopf.", "Leck mich am Arsch, du {insult}.", "{who} ist zu blöd zum Atmen.", "Häng dich auf.", "Schäm dich, dass es dich gibt.", "Dich sollte man einsperren, du {insult}."],
         "hateful": ["{group} sind Ungeziefer.", "{group} sind alle kriminell.", "{group} raus.", "{group} sind Abschaum.", "Ich hasse {group}.", "{group} gehören nicht hierher.", "Alle {group} sollte man abschieben.", "Typisch {group}, faul und dumm.", "{group} sind minderwertig.", "{group} lügen und stehlen alle.", "{group} haben kein Hirn.", "{group} gehören vergast.", "{group} sind eine Plage."],
-        "sexual": ["Ich will {who} ficken.", "Ich will sie nackt sehen.", "Wir hatten Sex auf dem Teppich.", "Wir haben die ganze Nacht gevögelt.", "Geile Titten.", "Zeig mir deine Titten.", "Schick mir Nacktbilder.", "Sie hat mir einen geblasen.", "Ich bin gekommen, als ich das Bild sah.", "Mein Schwanz war hart.", "Ich habe mich selbst befriedigt.", "Ich möchte mit ihr ins Bett und sie ausziehen.", "Sie soll sich ausziehen und auf meinen Schoß setzen."],
+        "sexual": ["Ich will {who} ficken.", "Ich will sie nackt sehen.", "Wir hatten Sex auf dem Teppich.", "Wir haben die ganze Nacht gevögelt.", "Wir haben auf dem Sofa gefickt.", "Wir haben es im Bett getrieben, sie kam dreimal.", "Er hat mich auf dem Tisch gebumst.", "Geile Titten.", "Zeig mir deine Titten.", "Schick mir Nacktbilder.", "Sie hat mir einen geblasen.", "Ich bin gekommen, als ich das Bild sah.", "Mein Schwanz war hart.", "Ich habe mich selbst befriedigt.", "Ich möchte mit ihr ins Bett und sie ausziehen.", "Sie soll sich ausziehen und auf meinen Schoß setzen."],
         "none": ["Super {item}", "Enttäuscht", "Danke, gern wieder", "Nicht kaufen", "{item} ist {fine}.", "{item} ist {fault}.", "{item} ist {fine}, aber {fault}.", "So ein Scheiß, {item} ist {fault}.", "{item} ist verdammt gut.", "{item} ist saugeil.", "Ich Idiot habe die falsche Größe bestellt.", "Ich war so dumm und habe es gekauft.", "{who} war unfreundlich.", "{who} hat nicht geantwortet.", "{who} war sehr nett.", "Würde ich wieder kaufen.", "Nie wieder.", "Lieferung dauerte drei Wochen.", "Meine Mutter freut sich.", "Für meinen Bruder gekauft.", "Wiegt 300 Gramm.", "Das Geld ist noch nicht da.", "Auch für alte Leute geeignet.", "Für Frauen und Männer.", "Das Mittel tötet Motten.", "Nach einem Jahr wie neu.", "Es fehlt ein Ersatzteil.", "Gefällt mir gut.", "Riecht nach Plastik.", "Idiotensicher, die Anleitung.", "Der Hund schläft gern darauf.", "Die nackte Wand ist jetzt schön."],
     },
     "es": {
@@ -149,7 +152,7 @@ LANGUAGES: dict[str, dict[str, list[str]]] = {
         "group": "外国人,女,移民,障害者,老人,黒人,ユダヤ人,同性愛者,田舎者".split(","),
         "item": "ランプ,毛布,時計,椅子,鞄,テント,掃除機,ジャケット".split(","),
         "fine": "軽い,静かな,きれいな,便利な,丈夫な,暖かい".split(","),
-        "fault": "うるさい,重い,壊れた,汚い,高い,使えない".split(","),
+        "fault": "うるさい,重い,壊れた,汚い,高い,使えない,曲がった,弱い,緩い,固い,薄い,古い".split(","),
         "abusive": ["{who}は{insult}だ。", "お前は{insult}か。", "{who}は死ね。", "死ね、{insult}。", "消えろ、{insult}。", "黙れ、{insult}。", "殺してやる。", "{who}をぶん殴ってやる。", "お前の顔を見ると吐き気がする。", "{insult}ども、地獄に落ちろ。", "自殺しろ。", "これを買う奴は{insult}だ。", "くたばれ、{insult}。", "{who}の頭は空っぽだ、{insult}。", "生きてて恥ずかしくないのか。", "家を知ってるぞ、覚えてろ。"],
         "hateful": ["{group}は害虫だ。", "{group}は出て行け。", "{group}はみんな泥棒だ。", "{group}は頭が悪い。", "{group}は大嫌いだ、全員消えろ。", "{group}は人間じゃない。", "{group}を国から追い出せ。", "{group}は生きる価値がない。"],
         "sexual": ["{who}とセックスしたい。", "裸が見たい。", "おっぱいを見せろ。", "ソファで一晩中やった。", "フェラしてもらった。", "二回イった。", "写真を見てオナニーした。", "裸の写真を送って。", "店員さんを抱きたい、ベッドで脱がせたい。", "モデルを見て勃起した。"],
@@ -159,26 +162,64 @@ LANGUAGES: dict[str, dict[str, list[str]]] = {
 
 #: How often each language is drawn.
 SHARES = {"en": 12, "de": 3, "es": 3, "fr": 3, "pt": 2, "it": 2, "ru": 2, "ja": 2}
+MADE_UP_PEOPLE = 0.3
+
 
+def _slot(name: str, language: str, lists: dict[str, list[str]], rng: random.Random) -> str:
+    if name == "name":
+        return made_up(rng)
+    if name == "n":
+        return str(rng.choice((rng.randint(1, 20), rng.randint(1, 1000))))
+    if name == "group" and rng.random() < MADE_UP_PEOPLE:
+        return made_up_people(language, rng)
+    return rng.choice(lists[name])
 
-def _filled(template: str, lists: dict[str, list[str]], rng: random.Random) -> str:
+
+def _filled(template: str, language: str, lists: dict[str, list[str]], rng: random.Random) -> str:
     while m := SLOT.search(template):
-        template = template[: m.start()] + rng.choice(lists[m[1]]) + template[m.end() :]
+        template = template[: m.start()] + _slot(m[1], language, lists, rng) + template[m.end() :]
     return template
 
 
-def sentence(language: str, label: str, rng: random.Random) -> str:
-    lists = LANGUAGES[language]
-    return _filled(rng.choice(lists[label]), lists, rng)
+def sentence(language: str, label: str, rng: random.Random, kind: str | None = None) -> str:
+    """A sentence of a label; of the harmless ones, of one of the ``KINDS`` where ``kind`` names it."""
+    own = LANGUAGES[language]
+    lists = WORDS[language] | own if kind is None else own | WORDS[language]
+    return _filled(rng.choice(KINDS[language][kind] if kind else own[label]), language, lists, rng)
 
 
-def generated(n: int, seed: int, none_share: float = 0.5) -> list[tuple[str, str, str]]:
+def harmless(language: str, rng: random.Random) -> str:
+    kind = None if rng.random() < 0.35 else rng.choices(list(KIND_SHARES), list(KIND_SHARES.values()))[0]
+    return sentence(language, "none", rng, kind)
+
+
+def generated(n: int, seed: int, none_share: float = 0.58) -> list[tuple[str, str, str]]:
     """``n`` draws of (sentence, label, language)."""
     rng = random.Random(seed)
     names, weights = list(SHARES), list(SHARES.values())
     out = []
     for _ in range(n):
         language = rng.choices(names, weights)[0]
-        label = "none" if rng.random() < none_share else rng.choices(["abusive", "hateful", "sexual"], [5, 3, 3])[0]
-        out.append((sentence(language, label, rng), label, language))
+        if rng.random() < none_share:
+            out.append((harmless(language, rng), "none", language))
+        else:
+            label = rng.choices(["abusive", "hateful", "sexual"], [5, 3, 3])[0]
+            out.append((sentence(language, label, rng), label, language))
     return out
+
+
+#: Slots whose words are harmful by themselves.
+HARMFUL_SLOTS = ("insult", "insults", "bad", "vermin", "harm", "harmed", "do", "sexdo", "part")
+
+
+def is_rude(word: str, language: str | None = None) -> bool:
+    """Whether a word says something harmful by itself, in a language or in any."""
+    return any(word in exact or word.startswith(starts) for exact, starts in ([_rude(language)] if language else map(_rude, LANGUAGES)))
+
+
+@cache
+def _rude(language: str) -> tuple[frozenset[str], tuple[str, ...]]:
+    lists = LANGUAGES[language]
+    words = {w for slot in HARMFUL_SLOTS for phrase in lists.get(slot, ()) for w in phrase.lower().split()}
+    starts = RUDE[language].split()
+    return frozenset(words | {s for s in starts if len(s) < 4 and language != "ja"}), tuple(s for s in starts if len(s) >= 4 or language == "ja")

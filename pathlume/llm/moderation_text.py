@@ -12,9 +12,11 @@ LOOKALIKES = str.maketrans(dict(p.split(">") for p in "а>a в>b с>c ԁ>d е>e
 #: Digits and signs that pass for letters; used only inside words that have letters.
 SIGNS = {"0": "o", "1": "i", "3": "e", "4": "a", "5": "s", "7": "t", "8": "b", "@": "a", "$": "s", "!": "i", "|": "l", "€": "e"}
 
-_TAG = regex.compile(r"<[^<>]{0,200}>")
+#: Names of markup elements that are taken out with their attributes; other words in angle brackets are text.
+_ELEMENTS = "a abbr b blockquote body br button center code dd div dl dt em font form h1 h2 h3 h4 h5 h6 head hr html i iframe img input label li link meta ol option p pre s script select small span strike strong style sub sup table tbody td th thead title tr u ul".replace(" ", "|")
+_TAG = regex.compile(rf"</?(?:{_ELEMENTS})(?:[\s/][^<>]*)?>|<!--|-->", regex.I)
 _LINK = regex.compile(r"(?:https?://|www\.)\S+")
-_INVISIBLE = regex.compile(r"[\p{Cf}\p{Cc}--\s\N{VARIATION SELECTOR-16}]", regex.V1)
+_INVISIBLE = regex.compile(r"[[\p{Cf}\p{Cc}\uFE00-\uFE0F]--\s]", regex.V1)
 _MOJIBAKE = regex.compile(r"[ÃÂâÐÑã][\x80-\xBFŒ-Ÿ‐-›€™]")
 _CJK = r"\p{Han}\p{Hiragana}\p{Katakana}ー"
 _SPACED = regex.compile(r"(?<![\p{L}\p{N}])(?:\p{L}[ .\-_*·]{1,3}){3,}\p{L}(?![\p{L}\p{N}])")
@@ -24,7 +26,7 @@ _LEET = regex.compile(r"[\p{L}\p{N}@$!|€*]*\p{L}[\p{L}\p{N}@$!|€*]*")
 _MASKED = regex.compile(r"(?<=\p{L})[*#]{2,}")
 _INNER = regex.compile(r"(?<=\p{L})[0134578@$!|€]+(?=\p{L})")
 _RUN = regex.compile(r"(\p{L})\1{2,}")
-_TOKEN = regex.compile(rf"[{_CJK}]|[\p{{L}}\p{{M}}]+(?:['’*][\p{{L}}\p{{M}}]+)*\*?|\p{{N}}+|[!?]")
+_TOKEN = regex.compile(rf"[{_CJK}]|\p{{L}}[\p{{L}}\p{{M}}]*(?:['’*][\p{{L}}\p{{M}}]+)*\*?|\p{{N}}+|[!?]")
 _LATIN, _CYRILLIC, _GREEK = (regex.compile(rf"\p{{{s}}}") for s in ("Latin", "Cyrillic", "Greek"))
 
 
@@ -82,6 +84,18 @@ def tokens(text: str | None) -> list[str]:
     return ["0" if t[0].isdigit() else t for t in _TOKEN.findall(plain(text))]
 
 
+STRETCH = 32
+
+
+def stretches(word: str) -> list[str]:
+    """A word of up to ``STRETCH`` characters as it is; a longer one as stretches of that length, each half over the one before, which cover
+    it: whatever lies within half a stretch lies whole in one."""
+    if len(word) <= STRETCH:
+        return [word]
+    step = STRETCH // 2
+    return [word[i : i + STRETCH] for i in range(0, len(word) - step, step)]
+
+
 class Segmenter:
     """Cuts words that were run together into known words, by least cost; leaves what cannot be cut."""
 
@@ -111,4 +125,5 @@ class Segmenter:
         return parts if len(parts) > 2 and known >= 0.7 * n else [word]
 
     def tokens(self, text: str | None) -> list[str]:
-        return [p for t in tokens(text) for p in self.cut(t)]
+        """Tokens with run-together words cut; what cannot be cut and is longer than ``STRETCH`` comes as overlapping stretches."""
+        return [s for t in tokens(text) for p in self.cut(t) for s in stretches(p)]

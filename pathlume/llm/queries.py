@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pathlume.llm.moderation import THRESHOLD, Moderator, common_wording, fit, labelled_rows, one_of_each, score_column
+from pathlume.llm.moderation import THRESHOLD, Moderator, fitted, labelled_rows, score_column
 from pathlume.llm.packing import container_use, pack
 from pathlume.llm.tokenizer import encode_column, token_counts
 from pathlume.sources.tables import read_table
@@ -34,9 +34,8 @@ def p7_containers(spark: SparkSession, data_dir: str) -> DataFrame:
 
 
 def moderator(spark: SparkSession, data_dir: str) -> Moderator:
-    """Fitted to the labelled sentences and to the common wording of all reviews, copies of one review counted once."""
-    documents = read_table(spark, data_dir, "documents").select("doc_id", "text", "lang")
-    return fit(labelled_rows(read_table(spark, data_dir, "moderation_examples")), common_wording(one_of_each(_spread(documents))))
+    """Fitted to the labelled sentences and generated ones; no review has a part in it."""
+    return fitted(spark, labelled_rows(read_table(spark, data_dir, "moderation_examples")))
 
 
 def p8_scores(spark: SparkSession, data_dir: str) -> DataFrame:

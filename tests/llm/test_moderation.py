@@ -3,11 +3,13 @@ import pandas as pd
 import pytest
 
 from pathlume.llm import moderation as m
-from pathlume.llm.moderation_model import LABELS, Model, Shape, char_grams, train
-from pathlume.llm.moderation_phrases import LANGUAGES, generated
-from pathlume.llm.moderation_text import Segmenter, plain, tokens
+from pathlume.llm.moderation_model import LABELS, Model, Shape, char_grams, from_bytes, to_bytes, train
+from pathlume.llm.moderation_contrasts import KINDS
+from pathlume.llm.moderation_phrases import LANGUAGES, generated, is_rude
+from pathlume.llm.moderation_text import STRETCH, Segmenter, plain, stretches, tokens
 
 SMALL = Shape(word=12, chars=16, hidden=12, attention=8, buckets=2048)
+FAST = m.Settings((1,), 5, 10_000, 4, 0)
 
 
 def test_disguises_are_undone():
@@ -60,7 +62,9 @@ def test_scores_do_not_depend_on_the_batch():
     together = model.scores(windows)
     assert np.allclose(together, np.concatenate([model.scores([w]) for w in windows]), atol=1e-5)
     assert together[2].tolist() == [1, 0, 0, 0] and np.allclose(together.sum(axis=1), 1, atol=1e-5)
-    assert len(char_grams("x" * 10_000, SMALL)) <= SMALL.max_grams
+    word = "donaudampfschifffahrtsgesellschaft"
+    assert len(char_grams(word, SMALL)) == sum(len(word) + 2 - n + 1 for n in SMALL.grams)
+    assert np.allclose(from_bytes(to_bytes(model)).scores(windows), together)
 
 
 def test_phrases_fill_all_slots():
@@ -71,11 +75,12 @@ def test_phrases_fill_all_slots():
 @pytest.fixture(scope="module")
 def moderator():
     labelled = [(t, l, g) for t, l, g in generated(250, 99)]
-    return m.fit(labelled, epochs=4, n_generated=3000, copies=2, shape=Shape(24, 24, 20, 16, 8192))
+    return m.fit(labelled, FAST)
 
 
 def test_held_out_accuracy(moderator):
-    held = [x for x in generated(1500, 12345) if x not in set(generated(3000, 1))]
+    seen = set(generated(FAST.n_generated, 1))
+    held = [x for x in generated(1500, 12345) if x not in seen]
     p = moderator.scores([t for t, _, _ in held])
     harmful = np.array([label != "none" for _, label, _ in held])
     found = p[:, 0] < 0.5
@@ -97,14 +102,67 @@ def test_training_is_repeatable_and_survives_wrong_labels():
         train([([], 0)])
 
 
-def test_common_wording_counts_all_texts(spark):
-    rows = [("the colour is fine and warm", "en")] * 30 + [("something very rare was said here", " EN-us")] + [(None, "en"), ("", None), ("das ist gut so", "de")] * 3
-    df = spark.createDataFrame(rows, "text string, lang string")
-    found = m.common_wording(df, 0.1, 4).triples
-    assert found == {"en": {t: 30 / 31 for t in [("the", "colour", "is"), ("colour", "is", "fine"), ("is", "fine", "and"), ("fine", "and", "warm")]}}
-    wrong = [("the colour is fine and warm", "sexual", "en"), ("you idiot", "abusive", "en"), ("the colour is fine", "none", "en")]
-    assert m.plausible(wrong, m.CommonWording(found)) == wrong[1:]
-    assert m.common_wording(df.limit(0)).triples == {}
+def test_labels_that_disagree():
+    rows = [("You idiot!", "abusive", "en"), ("you IDIOT", "abusive", "en"), ("you idiot", "none", "en"), ("Nice lamp.", "none", None), ("nice lamp", "sexual", "en"), ("", "none", "en"), (None, "none", "en"), ("x", "odd", "en")]
+    assert m.agreed(rows) == rows[:2] and m.agreed([]) == []
+
+
+def test_families_and_what_nothing_supports():
+    rows = [("the lamp is a piece of junk", "none", "en"), ("the tent is a piece of junk", "none", "en"), ("go away you silly goose", "abusive", "en"), ("thirty coins are too much", "sexual", "en"), ("go away you silly goat", "abusive", "en")]
+    of = m.families(rows)
+    assert of[0] == of[1] and of[2] == of[4] and len(set(of)) == 3
+    folds = m.folds_of(rows, 3)
+    assert folds[0] == folds[1] and folds[2] == folds[4]
+    assert m.confirmed(rows, [0.9, 0.9, 0.01, 0.05, 0.01]) == [r for r in rows if r[1] != "sexual"]  # one family stands for itself, a lone row does not
+    assert m.confirmed(rows, [0.9, 0.9, 0.01, 0.5, 0.01]) == rows
+
+
+def test_kinds_are_the_same_in_all_languages():
+    assert {tuple(sorted(k)) for k in KINDS.values()} == {tuple(sorted(KINDS["en"]))} and KINDS.keys() == LANGUAGES.keys()
+    assert is_rude("fucking") and is_rude("idiot", "en") and not is_rude("lamp") and not is_rude("think")
+
+
+def test_long_runs_lie_in_overlapping_stretches():
+    word = "".join(chr(97 + i * 7 % 26) for i in range(1000))
+    found = stretches(word)
+    assert all(len(x) <= STRETCH for x in found)
+    assert all(any(word[i : i + STRETCH // 2] in x for x in found) for i in range(len(word) - STRETCH // 2 + 1))
+    assert stretches("short") == ["short"]
+
+
+def test_markup_goes_and_words_in_brackets_stay():
+    assert tokens('<p class="' + "x" * 500 + '">fine</p><you idiot>') == ["fine", "you", "idiot"]
+    assert tokens("good \u2764\ufe0f\ufe0f") == ["good"]
+
+
+def test_scores_of_a_text_do_not_depend_on_other_texts(moderator):
+    texts = ["You stupid idiot, go to hell.", "The lamp is light.", "Love this lamp", None, "word " * 500]
+    alone = np.concatenate([moderator.scores([t]) for t in texts])
+    assert np.allclose(moderator.scores(texts * 3)[:5], alone, atol=1e-5) and np.allclose(moderator.scores(texts[::-1])[::-1], alone, atol=1e-5)
+
+
+def test_blocks_change_no_score(moderator, monkeypatch):
+    text = "The lamp is light. " * 30 + "You stupid idiot, go to hell. " + "My sister likes the lamp. " * 30
+    whole = moderator.scores([text, "fine", text])
+    monkeypatch.setattr(m, "BLOCK", 37)
+    assert np.allclose(moderator.scores([text, "fine", text]), whole, atol=1e-5)
+
+
+def test_models_are_fitted_once_and_kept(spark):
+    how = m.Settings((1, 2), 1, 200, 1, 2, SMALL)
+    rows = [(t, l, g) for t, l, g in generated(40, 7)]
+    first = m.fitted(spark, rows, how)
+    again = m.fitted(spark, rows, how)
+    local = m.fit(rows, how)
+    texts = ["You stupid idiot", "The lamp is light."]
+    assert len(first.models) == 2 and np.allclose(first.scores(texts), again.scores(texts)) and np.allclose(first.scores(texts), local.scores(texts), atol=1e-4)
+
+
+def test_harmless_kinds_and_harm_are_told_apart(moderator):
+    calm = ["Love this lamp", "Refugees in our choir use the same kettle and like it.", "Best kettle ever!!! Quick delivery, super shop, thank you Zorvek!", "I am an idiot, I lost the lid.", "This poison kills rats."]
+    harm = ["You are a worthless idiot.", "Refugees are vermin and should be thrown out.", "I want to see her naked."]
+    p = 1 - moderator.scores(calm + harm)[:, 0]
+    assert (p[:5] < 0.5).mean() >= 0.8 and (p[5:] > 0.5).all()
 
 
 def test_score_column(spark, moderator):
@@ -119,32 +177,6 @@ def test_score_column(spark, moderator):
     assert isinstance(got, pd.DataFrame)
 
 
-def test_copies_of_a_harmful_text_are_not_common_wording(spark):
-    rng = np.random.default_rng(5)
-    words = [a + b + c for a in ("ba", "ke", "li", "no", "su") for b in ("ra", "me", "di", "po", "tu") for c in ("l", "ns", "rk", "gen", "vit")]
-    harmful = "people of your sort are the dirt under every honest shoe and should be swept from this town for good before winter comes"
-    other = [" ".join(rng.choice(words, 30)) + " the colour is fine and warm" for _ in range(60)]
-    edited = [harmful.upper() + "!", f"<b>{harmful}</b>", harmful.replace("winter", "w1nter"), f"{harmful} ?!"]
-    rows = [(t, "en") for t in other + [harmful] * 26 + edited]
-    kept = m.one_of_each(spark.createDataFrame(rows, "text string, lang string"))
-    texts = [r["text"] for r in kept.collect()]
-    assert set(other) <= set(texts) and len(texts) == len(other) + 1
-    common = m.common_wording(kept).triples["en"]
-    assert ("colour", "is", "fine") in common and not common.keys() & set(zip(tokens(harmful), tokens(harmful)[1:], tokens(harmful)[2:]))
-    assert m.plausible([(harmful, "hateful", "en")], m.CommonWording({"en": common})) == [(harmful, "hateful", "en")]
-    assert m.one_of_each(spark.createDataFrame([(None, "en"), ("", None)], "text string, lang string")).count() == 0
-
-
-def test_a_harmful_label_counts_however_common_its_wording():
-    harmful, harmless = "you stupid idiot, go to hell you worthless moron", "the lamp is light and the parcel came early"
-    common = m.CommonWording({"en": {t: 0.3 for x in (tokens(harmful), tokens(harmless)) for t in zip(x, x[1:], x[2:])}})
-    labelled = [*generated(250, 99), (harmful, "abusive", "en"), (harmless, "sexual", "en")]
-    assert m.plausible(labelled, common) == labelled[:-2]
-    found = m.fit(labelled, common, epochs=4, n_generated=3000, n_common=600, copies=2, shape=Shape(24, 24, 20, 16, 8192))
-    p = found.scores([harmful, harmless])
-    assert p[0, 0] < 0.5 < p[1, 0]
-
-
 def test_a_sentence_as_long_as_a_window_lies_whole_in_one_wherever_it_starts():
     for n in range(1, m.WINDOW + 1):
         core = [f"c{i}" for i in range(n)]
