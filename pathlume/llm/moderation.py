@@ -32,7 +32,7 @@ from pathlume.sources.workspace import path_exists, shared_folder
 WINDOW, STRIDE = 16, 1
 #: Labelled rows used at most; where there are more, those with the least hash of their text.
 MAX_LABELLED = 20_000
-GENERATED = 14_000
+GENERATED = 18_000
 LABELLED_COPIES = 6
 SEEDS = (1, 2, 3, 4)
 THRESHOLD = 0.5
@@ -193,8 +193,8 @@ def training_set(labelled: Sequence[Labelled], n_generated: int, copies: int, se
             out += x[i : i + rng.randint(1, 5)] or ["a"]
             if words and rng.random() < 0.4:
                 out += [w for _ in range(rng.randint(1, 4)) for w in rng.choice(words)]
-            if ordinary.get(lang) and rng.random() < 0.4:
-                out.append(rng.choice(ordinary[lang]))
+            if ordinary.get(lang) and rng.random() < 0.5:
+                out += rng.choices(ordinary[lang], k=rng.choice((1, 1, 2)))
         return out[: rng.choice((WINDOW, WINDOW, WINDOW, rng.randint(1, WINDOW)))]
 
     def around(lang: str) -> list[str]:

@@ -62,6 +62,7 @@ KINDS: dict[str, dict[str, list[str]]] = {
         "service": ["{who} was slow and never called back.", "{who} did not help me, I am very angry.", "{who} was impolite, never again.", "{who} sent me away without an answer.", "{who} lied about the {piece}.", "I waited {time} for {who}.", "{who} left the box in the rain.", "Worst service of my life.", "I want to speak to {who}.", "{who} should learn to read an address.", "Please train {who} better.", "I will never buy here again.", "{who} answered after {time}.", "{who} is very {fine} and polite.", "I complained to {who} and got my money.", "Shame on this shop, the {item} is {fault}.", "They cheated me, the {item} is a copy.", "I will report the shop.", "My lawyer will write to the shop.", "I am disappointed by {who}.", "{who} lives far away and delivery took {time}.", "I will find another shop next time.", "Everyone who works there is nice.", "Whoever packed this did it with care.", "{who} gave me a new {piece}.", "Somebody should check the {piece} before sending."],
         "talk": ["After {time} the {piece} still looks like new.", "It took {time} to set up.", "We use it in the {also}.", "I use it every day for the {also}.", "I had a {name} before this one for {time}.", "Mine is the {name}, not the {name}.", "The shop in {name} had only {n} left.", "The {thing} is {fine}.", "The {thing} is {fault}.", "The {thing} matches the picture.", "It is more {fault} than my old {item}.", "It is more {fine} than my old {item}.", "My {kin} has the same {item}.", "My {kin} borrowed it and likes it.", "My {kin}, who complains about everything, likes it.", "My {kin} warned me about the {piece}.", "I sent the {item} back and wait for my money.", "Instructions in {n} languages.", "Order number {n}.", "It weighs {n} grams.", "It costs {n} coins, too much.", "Bought {n} times, {fault} {n} times.", "It came with a {fault} {piece} and no screws.", "Only the {piece} could be more {fine}.", "A {fine} {item} for the {also}.", "The {item} survived {time} of rain and dust.", "It makes a noise when the {piece} gets hot.", "There is another version with a longer {piece}.", "You can take the {piece} off and wash it.", "I wrote this after {time}.", "I compared it with the {name} of a friend.", "The {piece} closes well and the {piece} too.", "For {n} coins you get a {fine} {item}.", "In the picture it looks {fine}, in truth it is {fault}.", "I ordered on a monday and it came after {time}.", "I gave it to my {kin} for the {also}.", "Nothing was missing in the box.", "Would I buy it again? Yes.", "Does anybody know if the {piece} fits the {name}?", "The {piece} broke after {time}.", "It smells of {also}.", "Everything fits, the {piece} is {fine}."],
         "you": ["You will not find a more {fine} {item}.", "You get what you see.", "You can not go wrong with {name}.", "You can wash the {piece} by hand.", "You need {n} screws and some patience.", "If you like a {fine} {item}, take it.", "You hardly hear it, so {fine}.", "You have to hold the {piece} while you close it.", "Do you know where to get a {piece}?", "Once you have tried it you want no other {item}.", "You know how it is with a {fault} {piece}.", "You will be happy, believe me.", "You should see the {thing}, so {fine}.", "Thank you for the {fine} {item}, you made my day.", "Dear seller, you sent me the wrong {piece}.", "Dear {name} team, please send your {piece} again.", "You are wonderful people, thank you.", "You did a good job.", "You forgot the {piece}, but your answer was quick.", "Your shop is {fine}.", "Your {item} is {fault}, I want my money."],
+        "wish": ["I would buy the {item} again at once.", "I would recommend it to my {kin}.", "I would not call it {fine}.", "I would like a longer {piece}.", "I would take the {name} next time, without a second thought.", "They would not take the {item} back.", "It would be better with a bigger {piece}.", "Think twice before you buy it.", "My {kin} would miss it.", "I would keep it until the {piece} breaks.", "I hope the {piece} will last for years.", "I wish it were more {fine}.", "I imagine it will last.", "What I got is {fault}.", "My {kin} borrowed the {item} and will not return it."],
     },
     "de": {
         "short": ["Liebe es", "Tolle Sache!", "Schön", "Gut", "Naja", "Schlecht!", "Top!!!", "Danke", "Super", "Mist", "Schrott!", "Nie wieder", "{fine}", "{fault}", "Sehr {fine}", "Zu {fault}", "{item}", "{name}", "Geht so", "Empfehlenswert", "Perfekt!"],
@@ -72,6 +73,7 @@ KINDS: dict[str, dict[str, list[str]]] = {
         "service": ["{who} hat mich abgewiesen, ich bin sauer.", "{who} kam zu spät und hat nicht angerufen.", "Ich warte seit {time} auf {who}.", "{who} war höflich und schnell.", "{who} hat gelogen, das Teil ist {fault}.", "Schlechtester Service, nie wieder dieser Laden.", "{who} sollte besser geschult werden.", "Ich habe mich beschwert und mein Geld bekommen.", "{who} hat das Paket im Regen stehen lassen."],
         "talk": ["Nach {time} noch wie neu.", "Nach {time} kaputt.", "Ich nutze es in der {also}.", "{thing} ist {fine}.", "{thing} ist {fault}.", "Vorher hatte ich eine {name}.", "Der Laden in {name} hatte nur noch {n}.", "Auf dem Bild sieht es {fine} aus.", "Für {n} Taler ist das in Ordnung.", "Bestellt am Montag, da nach {time}.", "Mein Bruder will auch so eine.", "Meine Kollegin hat es zurückgeschickt.", "Es fehlte nichts im Karton.", "Der Aufbau dauerte {n} Minuten.", "Man kann das Teil abnehmen und waschen."],
         "you": ["Da findet man selten etwas so Gutes.", "Sie werden zufrieden sein, glauben Sie mir.", "Man muss das Teil festhalten.", "Ihr habt das falsche Teil geschickt.", "Ihr seid ein tolles Team, danke.", "Du kannst es von Hand waschen.", "Wenn du es leise magst, nimm das.", "Ihr Laden ist {fine}.", "Liebes Team, bitte noch eine {name}.", "Weißt du, wo man das bekommt?", "Dazu gehört auch ein Deckel."],
+        "wish": ["Ich würde es sofort wieder bestellen.", "Ich würde gern eine größere haben.", "Es wäre besser mit längerem Kabel.", "Ich hoffe, dass es lange hält.", "Genau was ich gesucht habe.", "Ich stelle mir etwas anderes vor.", "Man müsste den Deckel ändern."],
     },
     "es": {
         "short": ["Me encanta", "Genial!", "Bien", "Regular", "Malo", "Perfecto!!!", "Gracias", "Nunca más", "{fine}", "{fault}", "Muy {fine}", "Demasiado {fault}", "{item}", "{name}", "Excelente", "Basura", "Recomendable"],
@@ -82,6 +84,7 @@ KINDS: dict[str, dict[str, list[str]]] = {
         "service": ["{who} tardó mucho y no llamó.", "{who} no me ayudó, estoy enfadado.", "Espero a {who} desde hace {time}.", "{who} fue educado y rápido.", "{who} mintió, la pieza está {fault}.", "El peor servicio, no vuelvo a esta tienda.", "Deberían formar mejor al personal.", "Me quejé y me devolvieron el dinero.", "{who} dejó el paquete bajo la lluvia."],
         "talk": ["Después de {time} sigue como nueva.", "Se rompió en {time}.", "Lo uso en {also}.", "{thing} es {fine}.", "{thing} es {fault}.", "Antes tenía una {name}.", "La tienda de {name} solo tenía {n}.", "En la foto parece {fine}.", "Por {n} monedas está bien.", "Llegó en {time}.", "Mi hermano quiere otra.", "Mi vecina la devolvió.", "No faltaba nada en la caja.", "Montarla llevó {n} minutos."],
         "you": ["No encontrarás nada mejor.", "Te va a gustar, créeme.", "Se puede lavar a mano.", "Me habéis mandado otra pieza.", "Sois un gran equipo, gracias.", "Si te gusta {fine}, cómprala.", "Vuestra tienda es {fine}.", "¿Sabes dónde la venden?", "No se puede pedir nada mejor.", "Es el modelo nuevo, no el viejo.", "Tienes que sujetar la tapa."],
+        "wish": ["La compraría otra vez ahora mismo.", "Me gustaría una más grande.", "Sería mejor con otra correa.", "Espero que dure mucho.", "Es lo que yo quería.", "Lo que estaba buscando, ni más ni menos.", "Me la imaginaba más grande.", "Se me rompió a la semana."],
     },
     "fr": {
         "short": ["J'adore", "Génial !", "Bien", "Moyen", "Mauvais", "Parfait !!!", "Merci", "Plus jamais", "{fine}", "{fault}", "Très {fine}", "Trop {fault}", "{item}", "{name}", "Excellent", "Nul !", "Je recommande"],
@@ -92,6 +95,7 @@ KINDS: dict[str, dict[str, list[str]]] = {
         "service": ["{who} a tardé et n'a pas appelé.", "{who} ne m'a pas aidé, je suis fâché.", "J'attends {who} depuis {time}.", "{who} était poli et rapide.", "{who} a menti, la pièce est {fault}.", "Le pire service, je ne reviendrai pas.", "Il faudrait mieux former le personnel.", "Je me suis plaint et j'ai été remboursé.", "{who} a laissé le colis sous la pluie."],
         "talk": ["Après {time}, comme neuve.", "Cassée au bout de {time}.", "Je l'utilise dans {also}.", "{thing} est {fine}.", "{thing} est {fault}.", "Avant j'avais une {name}.", "Le magasin de {name} n'en avait que {n}.", "Sur la photo elle paraît {fine}.", "Pour {n} pièces, c'est correct.", "Livrée en {time}.", "Mon frère en veut une.", "Ma voisine l'a rendue.", "Il ne manquait rien dans la boîte.", "Le montage a pris {n} minutes."],
         "you": ["Vous ne trouverez pas mieux.", "Tu vas l'adorer, crois-moi.", "On peut la laver à la main.", "Vous m'avez envoyé une autre pièce.", "Vous êtes une belle équipe, merci.", "Si tu l'aimes {fine}, prends-la.", "Votre magasin est {fine}.", "Tu sais où la trouver ?", "Il faut tenir le couvercle.", "C'est le nouveau modèle, pas l'ancien."],
+        "wish": ["Je la prendrais encore tout de suite.", "J'aimerais une plus grande.", "Ce serait mieux avec une autre sangle.", "J'espère qu'elle durera.", "C'est ce que je cherchais.", "Je l'imaginais plus grande.", "Il faudrait changer le couvercle."],
     },
     "pt": {
         "short": ["Adorei", "Ótimo!", "Bom", "Mais ou menos", "Ruim", "Perfeito!!!", "Obrigado", "Nunca mais", "{fine}", "{fault}", "Muito {fine}", "Muito {fault}", "{item}", "{name}", "Excelente", "Lixo", "Recomendo"],
@@ -102,6 +106,7 @@ KINDS: dict[str, dict[str, list[str]]] = {
         "service": ["{who} demorou e não ligou.", "{who} não me ajudou, estou com raiva.", "Espero {who} há {time}.", "{who} foi educado e rápido.", "{who} mentiu, a peça está {fault}.", "O pior serviço, não volto a esta loja.", "Deviam treinar melhor o pessoal.", "Reclamei e recebi o dinheiro.", "{who} deixou o pacote na chuva."],
         "talk": ["Depois de {time} continua nova.", "Quebrou em {time}.", "Uso em {also}.", "{thing} é {fine}.", "{thing} é {fault}.", "Antes eu tinha uma {name}.", "A loja de {name} só tinha {n}.", "Na foto parece {fine}.", "Por {n} moedas está bom.", "Chegou em {time}.", "Meu irmão quer outra.", "Minha vizinha devolveu.", "Não faltava nada na caixa.", "A montagem levou {n} minutos."],
         "you": ["Você não vai achar coisa melhor.", "Você vai gostar, acredite.", "Dá para lavar à mão.", "Vocês mandaram a peça errada.", "Vocês são uma ótima equipe, obrigado.", "Se você gosta de {fine}, leve.", "A loja de vocês é {fine}.", "Você sabe onde vende?", "Você precisa segurar a tampa.", "É o modelo novo, não o velho."],
+        "wish": ["Eu compraria de novo agora mesmo.", "Eu queria uma maior.", "Seria melhor com outra alça.", "Espero que dure muito.", "É o que eu procurava.", "Eu imaginava maior.", "Deviam mudar a tampa."],
     },
     "it": {
         "short": ["Mi piace", "Ottima {item}", "Bella", "Fantastico!", "Bene", "Così così", "Pessimo", "Perfetto!!!", "Grazie", "Mai più", "{fine}", "{fault}", "Molto {fine}", "Troppo {fault}", "{item}", "{name}", "Eccellente", "Spazzatura", "Consigliato"],
@@ -112,6 +117,7 @@ KINDS: dict[str, dict[str, list[str]]] = {
         "service": ["{who} ha tardato e non ha chiamato.", "{who} non mi ha aiutato, sono arrabbiato.", "Aspetto {who} da {time}.", "{who} è stato educato e veloce.", "{who} ha mentito, il pezzo è {fault}.", "Il peggior servizio, non torno in questo negozio.", "Dovrebbero formare meglio il personale.", "Ho reclamato e ho avuto i soldi.", "{who} ha lasciato il pacco sotto la pioggia."],
         "talk": ["Dopo {time} è come nuova.", "Si è rotta dopo {time}.", "La uso in {also}.", "{thing} è {fine}.", "{thing} è {fault}.", "Prima avevo una {name}.", "Il negozio di {name} ne aveva solo {n}.", "Nella foto sembra {fine}.", "Per {n} monete va bene.", "Arrivata in {time}.", "Mio fratello ne vuole una.", "La vicina l'ha restituita.", "Non mancava nulla nella scatola.", "Il montaggio ha richiesto {n} minuti."],
         "you": ["Non troverai di meglio.", "Ti piacerà, credimi.", "Si può lavare a mano.", "Mi avete mandato il pezzo sbagliato.", "Siete una bella squadra, grazie.", "Se ti piace {fine}, prendila.", "Il vostro negozio è bello.", "Sai dove la vendono?", "Devi tenere il coperchio.", "È il modello nuovo, non il vecchio."],
+        "wish": ["La prenderei ancora subito.", "Ne vorrei una più grande.", "Sarebbe meglio con un'altra cinghia.", "Spero che duri a lungo.", "È quello che cercavo.", "La immaginavo più grande.", "Bisognerebbe cambiare il coperchio."],
     },
     "ru": {
         "short": ["Нравится", "Супер!", "Хорошо", "Нормально", "Плохо", "Отлично!!!", "Спасибо", "Больше никогда", "{fine}", "{fault}", "Очень {fine}", "Слишком {fault}", "{item}", "{name}", "Класс", "Хлам", "Рекомендую", "Ужас!"],
@@ -122,6 +128,7 @@ KINDS: dict[str, dict[str, list[str]]] = {
         "service": ["{who} опоздал и не позвонил.", "{who} не помог, я злюсь.", "Жду ответа {time}, {who} молчит.", "{who} вежлив и быстр.", "{who} обманул, деталь {fault}.", "Худший сервис, больше сюда не приду.", "Надо лучше обучать людей.", "Пожаловался и вернули деньги.", "{who} оставил коробку под дождём."],
         "talk": ["Прошло {time}, как новая.", "Сломалась за {time}.", "Беру для {also}.", "{thing} хороший.", "{thing} плохой.", "Раньше была {name}.", "В магазине {name} осталось {n}.", "На фото {fine}.", "За {n} монет нормально.", "Доставка: {time}.", "Брат хочет такую же.", "Соседка вернула.", "В коробке всё на месте.", "Собирали {n} минут."],
         "you": ["Лучше вы не найдёте.", "Тебе понравится, поверь.", "Можно стирать руками.", "Вы прислали не ту деталь.", "Вы отличная команда, спасибо.", "Если ты любишь такое, бери.", "Ваш магазин хороший.", "Ты знаешь, где продают?", "Надо держать крышку.", "Это новая модель, не старая."],
+        "wish": ["Купил бы снова прямо сейчас.", "Хотелось бы побольше.", "Было бы лучше с другим ремнём.", "Надеюсь, прослужит долго.", "Именно то, что искал.", "Представлял её больше.", "Надо бы поменять крышку."],
     },
     "ja": {
         "short": ["大好き", "最高!", "良い", "普通", "悪い", "完璧!!!", "ありがとう", "二度と買わない", "{fine}", "{fault}", "とても{fine}", "{item}", "{name}", "素敵", "ひどい", "おすすめ", "まあまあ"],
@@ -132,11 +139,12 @@ KINDS: dict[str, dict[str, list[str]]] = {
         "service": ["{who}は遅くて電話もなかった。", "{who}は助けてくれず、怒っています。", "{who}を{time}待っています。", "{who}は丁寧で早かった。", "{who}の説明は嘘でした、部品が{fault}。", "最悪の対応、もう買いません。", "返金してもらえました。", "{who}が箱を雨の中に置いた。"],
         "talk": ["{time}使っても新品のよう。", "{time}で壊れた。", "{also}で使います。", "{thing}が良い。", "{thing}が悪い。", "前は{name}でした。", "{name}の店には{n}個だけ。", "写真では{fine}。", "{n}円なら良い。", "{time}で届いた。", "弟も欲しがっています。", "隣の人は返品しました。", "箱に全部入っていた。"],
         "you": ["これ以上の物は見つかりません。", "あなたも気に入るはず。", "手で洗えます。", "違う部品が届きました。", "皆さんありがとう。", "軽いのが好きなら買って。", "どこで売っていますか。", "蓋を押さえてください。", "新しい型です。", "曲がったり折れたりしません。"],
+        "wish": ["すぐにまた買うつもりです。", "もっと大きいのが欲しい。", "長持ちしてほしい。", "探していた物です。", "もっと大きいと想像していた。", "蓋を変えるべきだ。"],
     },
 }
 
 #: Share of each kind among the harmless sentences drawn from this module.
-KIND_SHARES = {"short": 4, "advert": 6, "group": 5, "body": 4, "rude_harmless": 5, "service": 4, "you": 5, "talk": 9}
+KIND_SHARES = {"short": 4, "advert": 6, "group": 5, "body": 4, "rude_harmless": 5, "service": 4, "you": 5, "wish": 5, "talk": 9}
 
 #: Beginnings of words that say something harmful by themselves; all other words are ordinary and harmless alone.
 RUDE = {
@@ -149,3 +157,48 @@ RUDE = {
     "ru": "хуй хуя хую хуе пизд ебат ебал ебл трах сиськ гол голой дроч кончил отсос секс сука суки мраз тварь урод идиот дурак дебил шлюх свин ублюд сдох убью убей убит паразит ненавиж говн жоп мудак тупой туп",
     "ja": "死 殺 豚 糞 馬鹿 裸 淫 姦 射 勃 虫 害",
 }
+
+#: More harmful sentences by label, in the ways people are hurt without or with rude words: wished away or ill, threatened by hints, mocked for mind,
+#: looks or family, told to be silent; groups made less than human, shut out, blamed; bodies and acts described, asked for or imagined.
+HARMS: dict[str, dict[str, list[str]]] = {
+    "en": {
+        "abusive": ["The world would not miss {who}.", "Vanish for ever, {insult}.", "Nobody will cry at your funeral.", "Your own dog is ashamed of you.", "{who} needs a fist in the face.", "{who} has earned a good thrashing and my friends would help.", "Me and my brothers will wait for {who} after work.", "One day {who} will pay with his teeth.", "I would break the arms of {who} one by one.", "Sleep with one eye open, {insult}.", "{who} has a {thing} where others have a brain.", "{who} shares one brain cell with a {thing}.", "With a face like that {who} should wear a bag.", "Even your mother can not look at you.", "Whoever likes this has nothing between the ears.", "Fans of this shop are brainless cattle.", "I hope {who} gets run over by a bus.", "May your house burn down with you in it.", "I hope you get ill and suffer for years.", "Stop breathing, it is a waste of air.", "Go play on the motorway, {insult}.", "{who} is the stupidest creature on two legs.", "I have seen {thing}s with more sense than {who}.", "A trained monkey could do the job of {who}.", "{who} is too ugly for daylight.", "You sad little {insult}, get a life or end it.", "{insult} like you should be sterilised.", "Shame on the womb that bore you."],
+        "hateful": ["If all {group} vanished nobody would weep.", "I would celebrate the day {group} are gone.", "Back to the jungle with {group}.", "Let {group} crawl back to the hole they came from.", "Lock {group} up and throw the key away.", "{group} should be kept in kennels.", "{group} are not human.", "{group} are no people, they are beasts.", "{group} do not deserve to live among decent people.", "Decent people do not touch what {group} have touched.", "{group} are born thieves, every single one.", "As soon as {group} are hired things go missing.", "No {group} in my house, they bring dirt and lice.", "God made a mistake with {group}.", "{group} should be forbidden to breathe our air.", "What do you expect from {group}, their heads are empty.", "{group} can not think, only breed.", "Round up {group} and ship them off.", "Our forefathers knew what to do with {group}.", "{group} are worse than rats, chase them all away.", "Keep your children away from {group}, they are sick in the head.", "{group} in charge, that is why nothing works.", "A store full of {group} smells like a stable."],
+        "sexual": ["In my mind {who} takes her clothes off slowly and I touch myself.", "I picture {who} without clothes while I play with myself.", "I had to rub myself when I saw her.", "We did it on the {place} until we were both finished.", "My husband took me from behind on the {place}.", "She rode him on the {place} till he came inside her.", "I was so turned on that I could not stop touching myself.", "I got wet just looking at {who}.", "Post a photo of yourself without panties and I give five stars.", "Who wants to see me naked? Write to me.", "{who} may sit on my lap naked any time.", "{who} may ride me any time.", "Her lips around my {part}, that is what I dream of.", "Bend over, baby, I want to {sexdo} you.", "We moaned all night, he came in my mouth.", "The {item} vibrates so well that I came three times.", "I want to taste {who} between the legs.", "Perfect for a quickie on the {place}.", "Good {part}, bad {item}.", "My lover and I tried every position on it."],
+    },
+    "de": {
+        "abusive": ["Die Welt wäre besser ohne dich.", "{who} soll tot umfallen.", "Ich warte nach Feierabend auf {who}, dann fließt Blut.", "{who} verdient eine Tracht Prügel.", "{who} gehört verprügelt.", "Selbst dein Hund schämt sich für dich.", "Bei dem Gesicht sollte man eine Tüte tragen.", "Verschwinde und komm nie wieder, du {insult}.", "Um dich weint keiner.", "{who} hat einen Stein, wo andere ein Gehirn haben.", "Man müsste {who} die Finger brechen.", "Ich hoffe, dich überfährt ein Bus.", "Wer das mag, hat nichts im Kopf.", "So dumm wie {who} ist kein Tier."],
+        "hateful": ["{group} sind keine Menschen.", "{group} sind schlimmer als Ratten.", "Diese {group} gehören alle eingesperrt.", "Wenn {group} weg wären, würde keiner weinen.", "{group} können nicht denken, nur sich vermehren.", "Kein Wunder, da arbeiten {group}, die stehlen doch alle.", "Schickt {group} zurück in den Dschungel.", "Diese {group} sind Dreck und müssen weg.", "{group} bringen nur Schmutz und Krankheit."],
+        "sexual": ["Ich stelle mir vor, wie sie sich auszieht, und fasse mich an.", "Ich will die Verkäuferin nackt auf meinem Sofa.", "Sie saß nackt auf mir, bis wir beide kamen.", "Er nahm mich von hinten auf dem Tisch.", "Ich wurde so feucht beim Ansehen.", "Zeig dich ohne Höschen, dann gibt es fünf Sterne.", "Ich wurde so geil, dass ich es mir selbst machte.", "Perfekt für Sex zu dritt."],
+    },
+    "es": {
+        "abusive": ["El mundo estaría mejor sin ti.", "Nadie llorará en tu entierro.", "Espero a {who} a la salida y le rompo los dientes.", "A {who} habría que romperle los dedos.", "{who} se merece una buena tunda.", "Hasta tu perro se avergüenza de ti.", "Con esa cara deberías llevar una bolsa.", "Desaparece para siempre, {insult}.", "{who} tiene una piedra en vez de cerebro.", "Ojalá te atropelle un autobús.", "A quien le gusta esto no tiene nada en la cabeza.", "{who} es más tonto que un zapato."],
+        "hateful": ["{group} no son personas.", "{group} son peores que las ratas.", "A {group} hay que encerrarlos.", "Si {group} desaparecieran nadie lloraría.", "{group} no saben pensar, solo criar.", "Claro, trabajan {group}, todo lo roban.", "Que vuelvan a la selva {group}.", "{group} solo traen suciedad."],
+        "sexual": ["Me la imagino quitándose la ropa y me toco.", "Ella se sentó desnuda encima de mí hasta que acabamos.", "Me puse tan caliente que tuve que tocarme.", "Enséñate sin bragas y te doy cinco estrellas.", "Lo hicimos por detrás sobre la mesa.", "Sueño con su boca en mi polla.", "Ideal para un polvo rápido.", "Gemimos toda la noche en esa cama."],
+    },
+    "fr": {
+        "abusive": ["Le monde serait mieux sans toi.", "Personne ne pleurera à ton enterrement.", "J'attends {who} à la sortie pour lui casser les dents.", "Il faudrait casser les doigts à {who}.", "{who} mérite une bonne raclée.", "Même ton chien a honte de toi.", "Avec une tête pareille, mets un sac.", "Disparais pour toujours, {insult}.", "{who} a un caillou à la place du cerveau.", "J'espère qu'un bus t'écrasera.", "Ceux qui aiment ça n'ont rien dans la tête.", "{who} est plus bête qu'une chaussure."],
+        "hateful": ["{group} ne sont pas des humains.", "{group} sont pires que des rats.", "Il faut enfermer {group}.", "Si {group} disparaissaient, personne ne pleurerait.", "{group} ne savent pas penser, juste se reproduire.", "Évidemment, {group} y travaillent, tout est volé.", "Qu'ils retournent dans la jungle, {group}.", "{group} n'apportent que la saleté."],
+        "sexual": ["Je l'imagine se déshabiller et je me touche.", "Elle était nue sur moi jusqu'à ce que nous jouissions.", "J'étais si excité que j'ai dû me toucher.", "Montre-toi sans culotte et je mets cinq étoiles.", "Il m'a prise par derrière sur la table.", "Je rêve de sa bouche sur ma queue.", "Parfait pour une baise rapide.", "Nous avons gémi toute la nuit dans ce lit."],
+    },
+    "pt": {
+        "abusive": ["O mundo seria melhor sem você.", "Ninguém vai chorar no seu enterro.", "Espero {who} na saída e quebro os dentes dele.", "Deviam quebrar os dedos de {who}.", "{who} merece uma boa surra.", "Até o seu cachorro tem vergonha de você.", "Com essa cara devia usar um saco.", "Desapareça para sempre, {insult}.", "{who} tem uma pedra no lugar do cérebro.", "Tomara que um ônibus te atropele.", "Quem gosta disso não tem nada na cabeça."],
+        "hateful": ["{group} não são gente.", "{group} são piores que ratos.", "Tem que prender {group}.", "Se {group} sumissem ninguém choraria.", "{group} não pensam, só procriam.", "Claro, {group} trabalham lá, roubam tudo.", "Voltem para a selva, {group}.", "{group} só trazem sujeira."],
+        "sexual": ["Imagino ela tirando a roupa e me toco.", "Ela sentou nua em mim até gozarmos.", "Fiquei tão excitado que tive que me tocar.", "Mostra sem calcinha e dou cinco estrelas.", "Ele me pegou por trás na mesa.", "Sonho com a boca dela no meu pau.", "Perfeito para uma rapidinha.", "Gememos a noite toda nessa cama."],
+    },
+    "it": {
+        "abusive": ["Il mondo starebbe meglio senza di te.", "Nessuno piangerà al tuo funerale.", "Aspetto {who} all'uscita e gli rompo i denti.", "Bisognerebbe rompere le dita a {who}.", "{who} si merita una bella lezione di botte.", "Anche il tuo cane si vergogna di te.", "Con quella faccia mettiti un sacchetto.", "Sparisci per sempre, {insult}.", "{who} ha un sasso al posto del cervello.", "Spero che un autobus ti investa.", "A chi piace questo non ha niente in testa."],
+        "hateful": ["{group} non sono persone.", "{group} sono peggio dei topi.", "Bisogna rinchiudere {group}.", "Se {group} sparissero nessuno piangerebbe.", "{group} non pensano, si riproducono soltanto.", "Certo, ci lavorano {group}, rubano tutto.", "Tornino nella giungla, {group}.", "{group} portano solo sporcizia."],
+        "sexual": ["La immagino che si spoglia e mi tocco.", "Era nuda sopra di me finché siamo venuti.", "Ero così eccitato che ho dovuto toccarmi.", "Fatti vedere senza mutande e metto cinque stelle.", "Mi ha presa da dietro sul tavolo.", "Sogno la sua bocca sul mio cazzo.", "Perfetto per una sveltina.", "Abbiamo gemuto tutta la notte in quel letto."],
+    },
+    "ru": {
+        "abusive": ["Без тебя мир был бы лучше.", "Никто не заплачет на твоих похоронах.", "Подожду после работы, {who} останется без зубов.", "Пальцы бы переломать, {who} заслужил.", "{who} заслужил хорошую взбучку.", "Даже твоя собака тебя стыдится.", "С таким лицом носи мешок.", "Исчезни навсегда, {insult}.", "Вместо мозгов у тебя камень.", "Чтоб тебя автобус переехал.", "Кому это нравится, у тех пусто в голове."],
+        "hateful": ["{group} хуже крыс, гоните их.", "{group} не люди, а звери.", "Посадить бы всех, {group} это грязь.", "Исчезли бы все, {group} никому не нужны.", "{group} не думают, только плодятся.", "Понятно, там {group}, всё украдут.", "Пусть едут обратно в джунгли, {group} нам тут не нужны.", "{group} несут только заразу."],
+        "sexual": ["Представляю, как она раздевается, и трогаю себя.", "Она сидела на мне голая, пока мы не кончили.", "Так возбудился, что пришлось трогать себя.", "Покажись без трусов и дам пять звёзд.", "Он взял меня сзади на столе.", "Мечтаю о её губах на моём члене.", "Хорошо для секса втроём.", "Стонали всю ночь в этой кровати."],
+    },
+    "ja": {
+        "abusive": ["お前がいない方が世界のためだ。", "お前の葬式では誰も泣かない。", "{who}の歯を折ってやる。", "{who}の指を折るべきだ。", "{who}は殴られて当然だ。", "その顔なら袋をかぶれ。", "二度と現れるな、{insult}。", "{who}の脳みそは石だ。", "バスにひかれろ。", "これが好きな奴は頭が空だ。"],
+        "hateful": ["{group}は人間ではない、獣だ。", "{group}はネズミ以下だ。", "{group}を閉じ込めろ。", "{group}が消えても誰も泣かない。", "{group}は考えられない、増えるだけだ。", "{group}が働く店は何でも盗まれる。", "{group}は森に帰れ。", "{group}は汚い、触るな。"],
+        "sexual": ["彼女が服を脱ぐのを想像して自分を触る。", "裸で上に乗られて一緒にイった。", "興奮して触らずにいられなかった。", "下着なしの写真を送れば星五つ。", "後ろから机の上でされた。", "彼女の口で抜いてほしい。", "一晩中喘いだベッド。"],
+    },
+}

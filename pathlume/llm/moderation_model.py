@@ -23,8 +23,8 @@ LABELS = ("none", "abusive", "hateful", "sexual")
 class Shape:
     word: int = 32
     chars: int = 32
-    hidden: int = 32
-    attention: int = 32
+    hidden: int = 24
+    attention: int = 24
     buckets: int = 16_384
     grams: tuple[int, ...] = (2, 3, 4, 5)
 

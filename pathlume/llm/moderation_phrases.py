@@ -12,7 +12,7 @@ import random
 import re
 from functools import cache
 
-from pathlume.llm.moderation_contrasts import KIND_SHARES, KINDS, RUDE, WORDS, made_up, made_up_people
+from pathlume.llm.moderation_contrasts import HARMS, KIND_SHARES, KINDS, RUDE, WORDS, made_up, made_up_people
 
 SLOT = re.compile(r"\{(\w+)\}")
 
@@ -184,6 +184,7 @@ def _filled(template: str, language: str, lists: dict[str, list[str]], rng: rand
 def sentence(language: str, label: str, rng: random.Random, kind: str | None = None) -> str:
     """A sentence of a label; of the harmless ones, of one of the ``KINDS`` where ``kind`` names it."""
     own = LANGUAGES[language]
+    own = own | {k: own[k] + more for k, more in HARMS[language].items()}
     lists = WORDS[language] | own if kind is None else own | WORDS[language]
     return _filled(rng.choice(KINDS[language][kind] if kind else own[label]), language, lists, rng)
 
@@ -193,7 +194,7 @@ def harmless(language: str, rng: random.Random) -> str:
     return sentence(language, "none", rng, kind)
 
 
-def generated(n: int, seed: int, none_share: float = 0.58) -> list[tuple[str, str, str]]:
+def generated(n: int, seed: int, none_share: float = 0.64) -> list[tuple[str, str, str]]:
     """``n`` draws of (sentence, label, language)."""
     rng = random.Random(seed)
     names, weights = list(SHARES), list(SHARES.values())
