@@ -1,4 +1,4 @@
-"""Queries of problems 2, 3 and 4 over the two activity tables."""
+"""Queries of problems 2 and 3 over the two activity tables."""
 
 from __future__ import annotations
 
@@ -7,8 +7,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pathlume.functions.normalize import blank_free, col, epoch_ms, without_nan
-from pathlume.operators.frequent import frequent_items
+from pathlume.functions.normalize import col, epoch_ms, without_nan
 from pathlume.operators.hot_keys import Measure, salted_aggregate
 from pathlume.operators.sessions import SessionTable, local_sessions
 from pathlume.sources.tables import read_table, registered_keys
@@ -95,25 +94,7 @@ def p3_sessions(spark: SparkSession, data_dir: str) -> DataFrame:
     return sessions(spark, data_dir).read().withColumn("duration_ms", F.col("end_ms") - F.col("start_ms"))
 
 
-def counted_values(spark: SparkSession, data_dir: str) -> DataFrame:
-    """``column_name`` (table and column) and ``item`` of the columns of problem 4."""
-    shop, app = read_table(spark, data_dir, "shop_activity"), read_table(spark, data_dir, "app_activity")
-    pair = lambda name, value: F.struct(F.lit(name).alias("column_name"), value.alias("item"))
-    both = F.explode(F.array(pair("shop_activity.itemid", F.col("itemid").cast("string")), pair("shop_activity.searchterm", blank_free(F.col("searchterm")))))
-    return shop.select(both.alias("c")).select("c.*").unionByName(app.select(pair("app_activity.crashcode", blank_free(F.col("crashcode"))).alias("c")).select("c.*"))
-
-
-def p4_top(spark: SparkSession, data_dir: str) -> DataFrame:
-    found = frequent_items(counted_values(spark, data_dir), 0.01)
-    name = F.split("column_name", r"\.")
-    return found.select(name[0].alias("dataset_name"), name[1].alias("column_name"), "item", "n_rows", "n_total", F.round("share", 9).alias("share"))
-
-
-def p4_found(spark: SparkSession, data_dir: str) -> DataFrame:
-    return p4_top(spark, data_dir).select("dataset_name", "column_name", "item")
-
-
-QUERIES = {"p2_found": p2_found, "p2_groups": p2_groups, "p3_found": p3_found, "p3_sessions": p3_sessions, "p4_found": p4_found, "p4_top": p4_top}
+QUERIES = {"p2_found": p2_found, "p2_groups": p2_groups, "p3_found": p3_found, "p3_sessions": p3_sessions}
 
 _KEYED = """
 keyed as (
@@ -128,14 +109,6 @@ timed as (select *, lag(time_ms) over (partition by dataset_name, group_id order
 cut as (select *, sum(case when before_ms is null or time_ms - before_ms > 1800000 then 1 else 0 end) over (partition by dataset_name, group_id order by time_ms rows unbounded preceding) as nth from timed)
 """
 
-_FREQUENT = """
-with v as (
-  select 'shop_activity' as dataset_name, 'itemid' as column_name, cast(itemid as varchar) as item from shop_activity
-  union all select 'shop_activity', 'searchterm', nullif(lower(trim(searchterm, ' \t')), '') from shop_activity
-  union all select 'app_activity', 'crashcode', nullif(lower(trim(crashcode, ' \t')), '') from app_activity),
-n as (select dataset_name, column_name, item, count(*) as n_rows, sum(count(*)) over (partition by dataset_name, column_name) as n_total from v where item is not null group by 1, 2, 3)
-"""
-
 SQL = {
     "p2_found": f"with {_KEYED} select dataset_name, group_id from (select dataset_name, group_id, count(*) as n, sum(count(*)) over (partition by dataset_name) as total from keyed where group_id is not null group by 1, 2) where n >= 0.02 * total",
     "p2_groups": f"""with {_KEYED} select dataset_name, group_id, count(*) as n_rows, count(*) filter (where time_ms >= 1) as n_timed,
@@ -143,6 +116,4 @@ SQL = {
       round(cast(sum(cast(value as decimal(28,6))) as double), 4) as total from keyed where group_id is not null group by 1, 2""",
     "p3_found": f"{_SESSIONS} select dataset_name, group_id, min(time_ms) as start_ms, max(time_ms) as end_ms from cut group by dataset_name, group_id, nth",
     "p3_sessions": f"{_SESSIONS} select dataset_name, group_id, min(time_ms) as start_ms, max(time_ms) as end_ms, count(*) as n_events, max(time_ms) - min(time_ms) as duration_ms from cut group by dataset_name, group_id, nth",
-    "p4_found": f"{_FREQUENT} select dataset_name, column_name, item from n where n_rows >= 0.01 * n_total",
-    "p4_top": f"{_FREQUENT} select dataset_name, column_name, item, n_rows, cast(n_total as bigint) as n_total, round(n_rows / n_total, 9) as share from n where n_rows >= 0.01 * n_total",
 }

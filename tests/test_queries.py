@@ -10,7 +10,7 @@ import __spark_entry__ as entry
 
 DATA = "/root/testdata/sf0.001"
 pytestmark = pytest.mark.skipif(not os.path.isdir(DATA), reason="no test data here")
-CORE = sorted(name for name in entry.queries() if not name.startswith(("p6_", "p7_", "p8_")))
+CORE = sorted(name for name in entry.queries() if not name.startswith(("p4_", "p6_", "p7_", "p8_")))
 
 
 @pytest.fixture(scope="module")
