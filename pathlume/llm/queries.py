@@ -1,10 +1,11 @@
-"""Queries of problems 6, 7 and 8 over the reviews."""
+"""Queries of problems 6, 7 and 8 over the reviews, and those of problem 4."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from pathlume.llm import frequent_queries
 from pathlume.llm.moderation import THRESHOLD, Moderator, fitted, labelled_rows, score_column
 from pathlume.llm.packing import container_use, pack
 from pathlume.llm.tokenizer import encode_column, token_counts
@@ -59,5 +60,5 @@ def p8_rates(spark: SparkSession, data_dir: str) -> DataFrame:
     )
 
 
-QUERIES = {"p6_ids": p6_ids, "p7_packed": p7_packed, "p7_containers": p7_containers, "p8_found": p8_found, "p8_scores": p8_scores, "p8_rates": p8_rates}
-SQL: dict[str, str] = {}
+QUERIES = {**frequent_queries.QUERIES, "p6_ids": p6_ids, "p7_packed": p7_packed, "p7_containers": p7_containers, "p8_found": p8_found, "p8_scores": p8_scores, "p8_rates": p8_rates}
+SQL: dict[str, str] = {**frequent_queries.SQL}
