@@ -9,13 +9,14 @@ sessions, and local sessions of a new batch are joined with the stored ones that
 from __future__ import annotations
 
 import json
+import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql import Window as W
 
-from pathlume.sources.workspace import read_text, remove_path, replace_text, scratch_path
+from pathlume.sources.workspace import create_text, names_in, read_text, remove_path, scratch_path
 
 DEFAULT_PAUSE_MS = 1_800_000
 SESSION_COLUMNS = ["dataset_name", "group_id", "start_ms", "end_ms", "n_events"]
@@ -59,25 +60,37 @@ def local_sessions(rows: DataFrame, dataset_name: str, group_id: Column, time_ms
 class SessionTable:
     """Sessions kept in shared storage, brought up to date batch by batch.
 
-    The table is cut into slices of ``slice_ms`` by the start of the session, one folder each. A manifest names the folder of each
-    slice with its earliest start and latest end. A batch (1) finds the slices whose sessions can lie within the pause of a session
-    of the batch, (2) joins their sessions with those of the batch, bridged ones becoming one, (3) writes these slices anew and
-    (4) renames a new manifest over the old one. Other slices are neither read nor written. Readers see the table before the batch
-    or after it, and a batch that failed leaves no trace but unnamed folders.
+    The table is cut into slices of ``slice_ms`` by the start of the session, one folder each. Every version has a manifest, which names
+    the folder of each slice with its earliest start and latest end. A batch (1) finds the slices whose sessions can lie within the
+    pause of a session of the batch, (2) joins their sessions with those of the batch, bridged ones becoming one, (3) writes these slices
+    anew and (4) creates the manifest of the next version. Other slices are neither read nor written.
+
+    Readers see the table before the batch or after it. The folders of the last ``keep_versions`` versions stay, so a DataFrame that was
+    taken from ``read`` can be evaluated until so many more batches came. Of two writers of the same version one creates the manifest;
+    the other takes its batch to the version that then is. A batch that failed leaves no trace but unnamed folders.
     """
 
-    def __init__(self, spark: SparkSession, root: str | None = None, pause_ms: int = DEFAULT_PAUSE_MS, slice_ms: int = 7 * 86_400_000):
-        if pause_ms < 1 or slice_ms < 1:
-            raise ValueError("pause_ms and slice_ms must be at least 1")
-        self.spark, self.pause_ms, self.slice_ms = spark, pause_ms, slice_ms
+    def __init__(self, spark: SparkSession, root: str | None = None, pause_ms: int = DEFAULT_PAUSE_MS, slice_ms: int = 7 * 86_400_000, keep_versions: int = 10):
+        if pause_ms < 1 or slice_ms < 1 or keep_versions < 1:
+            raise ValueError("pause_ms, slice_ms and keep_versions must be at least 1")
+        self.spark, self.pause_ms, self.slice_ms, self.keep_versions = spark, pause_ms, slice_ms, keep_versions
         self.root = (root or scratch_path(spark, "sessions")).rstrip("/")
         manifest = self._manifest()
         if (manifest["pause_ms"], manifest["slice_ms"]) != (pause_ms, slice_ms):
             raise ValueError("the stored table has another pause or width of slices")
 
-    def _manifest(self) -> dict:
-        text = read_text(self.spark, f"{self.root}/manifest.json")
-        return json.loads(text) if text else {"version": 0, "pause_ms": self.pause_ms, "slice_ms": self.slice_ms, "slices": {}}
+    def _manifest_path(self, version: int) -> str:
+        return f"{self.root}/manifests/{version:012d}.json"
+
+    def versions(self) -> list[int]:
+        """Versions that are kept, oldest first."""
+        return [int(name[:-5]) for name in names_in(self.spark, f"{self.root}/manifests") if name.endswith(".json") and name[:-5].isdigit()]
+
+    def _manifest(self, version: int | None = None) -> dict:
+        known = self.versions()
+        if not known:
+            return {"version": 0, "pause_ms": self.pause_ms, "slice_ms": self.slice_ms, "slices": {}, "batches": {}}
+        return json.loads(read_text(self.spark, self._manifest_path(known[-1] if version is None else version)))
 
     def _slice(self) -> Column:
         return F.floor(F.col("start_ms") / F.lit(self.slice_ms)).cast("bigint")
@@ -90,19 +103,42 @@ class SessionTable:
         folders = [s["folder"] for s in slices.values()]
         return self.spark.read.schema(SESSION_SCHEMA).parquet(*folders) if folders else self.spark.createDataFrame([], SESSION_SCHEMA)
 
-    def read(self) -> DataFrame:
-        """The current sessions; no rows before the first batch."""
-        return self._stored(self._manifest()["slices"])
+    def read(self, version: int | None = None) -> DataFrame:
+        """The current sessions, or those of a version that is kept; no rows before the first batch."""
+        return self._stored(self._manifest(version)["slices"])
+
+    def apply(self, batch: DataFrame, source: str | None = None, number: int | None = None) -> bool:
+        """Take in the local sessions of a batch (``local_sessions``). A batch without rows changes no row.
 
-    def apply(self, batch: DataFrame) -> None:
-        """Take in the local sessions of a batch (``local_sessions``). A batch without rows changes no row."""
+        With ``source`` and ``number`` the batch is taken once: numbers of a source rise, and one that is not above the last one taken is
+        passed over (false). The number is kept in the manifest that names the batch's rows, so both are there or neither.
+        """
         manifest = self._manifest()
-        stored = manifest["slices"]
-        merged, staged, touched = batch.select(*SESSION_COLUMNS), None, {}
+        staged = None
+        try:
+            while True:
+                if source is not None and number is not None and number <= manifest["batches"].get(source, -1):
+                    return False
+                if manifest["slices"] and staged is None:
+                    staged = scratch_path(self.spark, "batch")
+                    batch.select(*SESSION_COLUMNS).write.parquet(staged)
+                path, slices = self._merged(manifest["slices"], batch if staged is None else self.spark.read.schema(SESSION_SCHEMA).parquet(staged))
+                taken = {**manifest["batches"], **({source: number} if source is not None and number is not None else {})}
+                after = manifest | {"version": manifest["version"] + 1, "slices": slices, "batches": taken}
+                if create_text(self.spark, self._manifest_path(after["version"]), json.dumps(after)):
+                    break
+                remove_path(self.spark, path)  # another writer was first
+                manifest = self._manifest()
+        finally:
+            if staged:
+                remove_path(self.spark, staged)
+        self.vacuum()
+        return True
+
+    def _merged(self, stored: dict[str, dict], batch: DataFrame) -> tuple[str, dict[str, dict]]:
+        """The folder written and the slices of the table with the batch."""
+        merged, touched = batch.select(*SESSION_COLUMNS), {}
         if stored:
-            staged = scratch_path(self.spark, "batch")
-            merged.write.parquet(staged)
-            merged = self.spark.read.schema(SESSION_SCHEMA).parquet(staged)
             extent = self._extent(merged)
             new_slices = {str(s) for s, _, _ in extent}
             touched = {
@@ -111,12 +147,20 @@ class SessionTable:
                 if k in new_slices or any(lo - self.pause_ms <= v["max_end"] and v["min_start"] <= hi + self.pause_ms for _, lo, hi in extent)
             }
             merged = merge_spans(self._stored(touched).unionByName(merged), ["dataset_name", "group_id"], self.pause_ms)
-        version = manifest["version"] + 1
-        path = f"{self.root}/v{version}"
-        merged.select(*SESSION_COLUMNS, self._slice().alias("slice")).write.mode("overwrite").partitionBy("slice").parquet(path)
+        path = f"{self.root}/data/{uuid.uuid4().hex}"
+        merged.select(*SESSION_COLUMNS, self._slice().alias("slice")).write.partitionBy("slice").parquet(path)
         written = self.spark.read.schema(T.StructType([*SESSION_SCHEMA.fields, T.StructField("slice", T.LongType())])).parquet(path)
         fresh = {str(s): {"folder": f"{path}/slice={s}", "min_start": lo, "max_end": hi} for s, lo, hi in self._extent(written)}
-        kept = {k: v for k, v in stored.items() if k not in touched}
-        replace_text(self.spark, f"{self.root}/manifest.json", json.dumps(manifest | {"version": version, "slices": kept | fresh}))
-        for gone in [*(v["folder"] for v in touched.values()), *([staged] if staged else [])]:
-            remove_path(self.spark, gone)
+        return path, {**{k: v for k, v in stored.items() if k not in touched}, **fresh}
+
+    def vacuum(self, keep_versions: int | None = None) -> None:
+        """Remove the manifests before the last ``keep_versions`` and the folders that only they name."""
+        known = self.versions()
+        old = known[: -(keep_versions or self.keep_versions)]
+        if not old:
+            return
+        folders = lambda versions: {s["folder"] for v in versions for s in self._manifest(v)["slices"].values()}
+        for folder in folders(old) - folders(known[len(old) :]):
+            remove_path(self.spark, folder)
+        for version in old:
+            remove_path(self.spark, self._manifest_path(version))

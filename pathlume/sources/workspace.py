@@ -10,6 +10,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import DataFrame, SparkSession
 
 
@@ -66,6 +67,34 @@ def replace_text(spark: SparkSession, path: str, text: str) -> None:
     files.rename(fresh, target, overwrite)
 
 
+def create_text(spark: SparkSession, path: str, text: str) -> bool:
+    """Write ``text`` under a name nobody has: false, and nothing written, where it is taken. Readers see all of it or nothing."""
+    jvm = spark.sparkContext._jvm
+    conf = spark.sparkContext._jsc.hadoopConfiguration()
+    target = jvm.org.apache.hadoop.fs.Path(path)
+    fresh = jvm.org.apache.hadoop.fs.Path(target.getParent(), f"_{uuid.uuid4().hex}")
+    system = fresh.getFileSystem(conf)
+    out = system.create(fresh, False)
+    out.write(bytearray(text, "utf-8"))
+    out.close()
+    files = jvm.org.apache.hadoop.fs.FileContext.getFileContext(target.toUri() if target.toUri().getScheme() else jvm.java.net.URI("file:///"), conf)
+    try:
+        files.rename(fresh, target, spark.sparkContext._gateway.new_array(jvm.org.apache.hadoop.fs.Options.Rename, 0))
+        return True
+    except Py4JJavaError as e:
+        system.delete(fresh, False)
+        if "FileAlreadyExists" in e.java_exception.getClass().getName():
+            return False
+        raise
+
+
+def names_in(spark: SparkSession, folder: str) -> list[str]:
+    """Names of the files and folders directly in ``folder``; none where it does not exist."""
+    target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
+    system = target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    return sorted(status.getPath().getName() for status in system.listStatus(target)) if system.exists(target) else []
+
+
 def read_text(spark: SparkSession, path: str) -> str | None:
     jvm = spark.sparkContext._jvm
     target = jvm.org.apache.hadoop.fs.Path(path)

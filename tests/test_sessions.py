@@ -84,3 +84,38 @@ def test_settings_of_a_stored_table_must_agree(spark, tmp_path):
     SessionTable(spark, f"file://{tmp_path}/t", PAUSE).apply(local(spark, [("a", 10)]))
     with pytest.raises(ValueError):
         SessionTable(spark, f"file://{tmp_path}/t", PAUSE + 1)
+
+
+def test_an_old_reader_still_reads_after_more_batches(spark, tmp_path):
+    table = SessionTable(spark, f"file://{tmp_path}/t", PAUSE, keep_versions=3)
+    table.apply(local(spark, [("a", 10)]))
+    old = table.read()
+    table.apply(local(spark, [("a", 60)]))
+    table.apply(local(spark, [("a", 120)]))
+    assert taken(old) == {("a", 10, 10, 1)} and taken(table.read(2)) == {("a", 10, 60, 2)} and taken(table.read()) == {("a", 10, 120, 3)}
+    table.apply(local(spark, [("a", 900)]))
+    assert table.versions() == [2, 3, 4] and taken(table.read()) == {("a", 10, 120, 3), ("a", 900, 900, 1)}
+
+
+def test_a_batch_sent_again_is_taken_once(spark, tmp_path):
+    table = SessionTable(spark, f"file://{tmp_path}/t", PAUSE)
+    assert table.apply(local(spark, [("a", 10)]), "s", 0) and table.apply(local(spark, [("a", 20)]), "s", 1)
+    assert not table.apply(local(spark, [("a", 20)]), "s", 1) and not table.apply(local(spark, [("a", 10)]), "s", 0)
+    assert table.apply(local(spark, [("a", 30)]), "other", 0)
+    assert taken(table.read()) == {("a", 10, 30, 3)}
+
+
+def test_two_writers_lose_no_batch(spark, tmp_path, monkeypatch):
+    one, two = (SessionTable(spark, f"file://{tmp_path}/t", PAUSE) for _ in range(2))
+    one.apply(local(spark, [("a", 10)]))
+    merged, hurried = one._merged, []
+
+    def late(stored, batch):
+        found = merged(stored, batch)
+        if not hurried:  # the other writer commits between reading and committing
+            hurried.append(two.apply(local(spark, [("a", 60)])))
+        return found
+
+    monkeypatch.setattr(one, "_merged", late)
+    one.apply(local(spark, [("a", 110)]))
+    assert taken(one.read()) == {("a", 10, 110, 3)} and one.versions() == [1, 2, 3]
