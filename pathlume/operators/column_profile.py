@@ -17,6 +17,7 @@ from __future__ import annotations
 import math
 from collections.abc import Iterator
 from dataclasses import dataclass
+from urllib.parse import unquote
 
 import numpy as np
 import pandas as pd
@@ -35,6 +36,8 @@ OFTEN, SHARED = 7, 8
 #: From so many loads on, a value counts as one of the column's.
 SHARED_LOADS = 3
 VALUE_BINS = 1024
+#: Stands for a missing load number within a task.
+NO_LOAD = np.iinfo(np.int64).min
 BINS_PER_DOUBLING = 4
 
 
@@ -89,20 +92,51 @@ def form_bin(text: str) -> int:
     return bits | (16 if text[:1].isspace() or text[-1:].isspace() else 0)
 
 
-def _open(path: str):
+#: Settings of the Hadoop client for object storage and the arguments of the reader they stand for.
+_STORE_SETTINGS = {"fs.s3a.access.key": "access_key", "fs.s3a.secret.key": "secret_key", "fs.s3a.session.token": "session_token", "fs.s3a.endpoint": "endpoint_override", "fs.s3a.endpoint.region": "region"}
+
+
+def store_options(spark: SparkSession) -> dict[str, str]:
+    """What the session's Hadoop settings say about object storage, for the readers of row groups."""
+    conf = spark.sparkContext._jsc.hadoopConfiguration()
+    return {name: value for key, name in _STORE_SETTINGS.items() if (value := conf.get(key))}
+
+
+def _file_system(path: str, options: dict[str, str]):
+    """File system and inner path. Names of object storage that Spark uses (s3a, s3n) are those of pyarrow's s3."""
     import pyarrow.fs as pafs
+
+    scheme, _, rest = path.partition("://")
+    if scheme in ("s3", "s3a", "s3n"):
+        return pafs.S3FileSystem(**options), unquote(rest)
+    return pafs.FileSystem.from_uri(path)
+
+
+def _open(path: str, options: dict[str, str] | None = None, text_columns: tuple[str, ...] = ()):
     import pyarrow.parquet as pq
 
-    system, inner = pafs.FileSystem.from_uri(path)
-    return pq.ParquetFile(system.open_input_file(inner))
+    system, inner = _file_system(path, options or {})
+    return pq.ParquetFile(system.open_input_file(inner), read_dictionary=list(text_columns))
+
+
+class _Opened:
+    """The file opened last: row groups of one file that follow each other read its footer once."""
+
+    def __init__(self, options: dict[str, str]):
+        self.options, self.key, self.file = options, None, None
 
+    def __call__(self, path: str, text_columns: tuple[str, ...] = ()):
+        if self.key != (path, text_columns):
+            self.key, self.file = (path, text_columns), _open(path, self.options, text_columns)
+        return self.file
 
-def _footer_units(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+
+def _footer_units(batches: Iterator[pd.DataFrame], options: dict[str, str]) -> Iterator[pd.DataFrame]:
     """One row per row group."""
     for batch in batches:
         found = []
         for dataset, path in zip(batch["dataset_name"], batch["path"]):
-            meta = _open(path).metadata
+            meta = _open(path, options).metadata
             found += [(dataset, path, g, meta.row_group(g).num_rows) for g in range(meta.num_row_groups)]
         yield pd.DataFrame(found, columns=["dataset_name", "path", "row_group", "n_rows"])
 
@@ -153,7 +187,8 @@ def _counted(column_id: int, kind: str, loads: np.ndarray, codes: np.ndarray, di
     used, at = np.unique(pairs["code"].to_numpy(), return_inverse=True)
     values = distinct[used]
     text = kind == "STRING"
-    hashes = pd.util.hash_array(values.astype(object) if text else values.astype(np.float64) + 0.0).view(np.int64)
+    whole = kind == "INT"  # whole numbers as such: above 2**53 neighbours are one as floating numbers
+    hashes = pd.util.hash_array(values.astype(object) if text else values.astype(np.int64) if whole else values.astype(np.float64) + 0.0).view(np.int64)
     base = pairs[["load_no", "n"]].assign(column_id=column_id, lo=np.nan, hi=np.nan)
     yield base.assign(view=VALUE, bin=hashes[at])
     if text:
@@ -170,13 +205,13 @@ def _counted(column_id: int, kind: str, loads: np.ndarray, codes: np.ndarray, di
         yield pd.DataFrame({"column_id": column_id, "load_no": ends["load_no"], "view": EXTREMA, "bin": 0, "n": 0, "lo": ends["min"], "hi": ends["max"]})
 
 
-def _partials_of(path: str, row_group: int, columns: list[tuple[int, str, str]], load_column: str) -> Iterator[pd.DataFrame]:
-    file = _open_dictionary(path, [name for _, name, kind in columns if kind == "STRING"])
+def _partials_of(path: str, row_group: int, columns: list[tuple[int, str, str]], load_column: str, opened: _Opened | None = None) -> Iterator[pd.DataFrame]:
+    file = (opened or _Opened({}))(path, tuple(name for _, name, kind in columns if kind == "STRING"))
     places = {file.metadata.schema.column(i).path: i for i in range(file.metadata.num_columns)}
     load = _Chunk(file, row_group, places[load_column], load_column, "INT")
     one_load = load.nulls == 0 and load.extrema is not None and load.extrema[0] == load.extrema[1]
     codes, distinct = load.values()
-    loads = np.append(distinct.astype(np.int64), -1)[codes]  # rows without a load number are load -1
+    loads = np.append(distinct.astype(np.int64), NO_LOAD)[codes]
     number, rows = np.unique(loads, return_counts=True)
     for column_id, name, kind in columns:
         chunk = _Chunk(file, row_group, places[name], name, kind)
@@ -194,33 +229,26 @@ def _partials_of(path: str, row_group: int, columns: list[tuple[int, str, str]],
         yield from _counted(column_id, kind, loads, codes, distinct)
 
 
-def _open_dictionary(path: str, text_columns: list[str]):
-    import pyarrow.fs as pafs
-    import pyarrow.parquet as pq
-
-    system, inner = pafs.FileSystem.from_uri(path)
-    return pq.ParquetFile(system.open_input_file(inner), read_dictionary=text_columns)
-
-
 def chunk_partials(spark: SparkSession, tables: dict[str, DataFrame], columns: list[ProfiledColumn], load_column: str = "load_no") -> DataFrame:
     """Partial counts of all row groups. Tables must be plain Parquet reads; files come from their listing."""
     files = [(name, path) for name, table in tables.items() for path in table.inputFiles()]
     wanted: dict[str, list[tuple[int, str, str]]] = {}
     for i, c in enumerate(columns):
         wanted.setdefault(c.dataset_name, []).append((i, c.column_name, c.kind))
-    cores = spark.sparkContext.defaultParallelism
+    cores, options = spark.sparkContext.defaultParallelism, store_options(spark)
     listed = spark.createDataFrame(files, "dataset_name string, path string")
-    units = listed.repartition(max(cores, len(files) // 64)).mapInPandas(_footer_units, "dataset_name string, path string, row_group int, n_rows bigint")
+    units = listed.repartition(max(cores, len(files) // 64)).mapInPandas(lambda batches: _footer_units(batches, options), "dataset_name string, path string, row_group int, n_rows bigint")
 
     def partials(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         names = ["column_id", "load_no", "view", "bin", "n", "lo", "hi"]
+        opened = _Opened(options)
         for batch in batches:
             for dataset, path, row_group, n_rows in zip(batch["dataset_name"], batch["path"], batch["row_group"], batch["n_rows"]):
                 if n_rows:
-                    for part in _partials_of(path, row_group, wanted.get(dataset, []), load_column):
-                        yield part[names]
+                    for part in _partials_of(path, row_group, wanted.get(dataset, []), load_column, opened):
+                        yield part[names].assign(load_no=part["load_no"].astype("Int64").mask(part["load_no"] == NO_LOAD))
 
-    return units.repartition(max(3 * cores, len(files)), "path", "row_group").mapInPandas(partials, PARTIAL)
+    return units.repartition(max(3 * cores, len(files)), "path", "row_group").sortWithinPartitions("path", "row_group").mapInPandas(partials, PARTIAL)
 
 
 def load_histograms(partials: DataFrame) -> DataFrame:
@@ -232,7 +260,7 @@ def load_histograms(partials: DataFrame) -> DataFrame:
     often = F.when(F.col("n") <= 32, F.col("n")).otherwise(F.floor(F.log2(F.col("n").cast("double")) * BINS_PER_DOUBLING) + 12)
     of_value = views(a=(VALUE, F.pmod(F.col("bin"), F.lit(VALUE_BINS))), b=(OFTEN, often), c=(SHARED, F.least(F.col("loads"), F.lit(SHARED_LOADS))))
     return (
-        merged.withColumn("loads", F.count(F.lit(1)).over(W.partitionBy("column_id", "view", "bin")))
+        merged.withColumn("loads", F.count("load_no").over(W.partitionBy("column_id", "view", "bin")))
         .withColumn("x", F.explode(F.when(F.col("view") == VALUE, of_value).otherwise(F.array(F.struct("view", "bin")))))
         .select("column_id", "load_no", "x.view", "x.bin", "n", "lo", "hi")
         .groupBy("column_id", "load_no", "view", "bin")
@@ -241,7 +269,7 @@ def load_histograms(partials: DataFrame) -> DataFrame:
 
 
 def load_profiles(histograms: DataFrame) -> DataFrame:
-    """One row per column and load: rows, nulls, distinct values, extrema."""
+    """One row per column and load: rows, nulls, distinct values, extrema. Rows without a load number come as one with a null."""
     of = lambda view, value: F.coalesce(F.sum(F.when(F.col("view") == view, value)), F.lit(0))
     return histograms.groupBy("column_id", "load_no").agg(
         of(ROWS, F.col("n")).alias("n_rows"),
@@ -271,6 +299,7 @@ def signals(histograms: DataFrame) -> DataFrame:
     tail of rare values that is replaced by another shows. The null rate is a view of two bins; the distinct ratio has ``n``
     distinct values with ``of`` rows by how often they occur. The result has some tens of rows a load, column and view.
     """
+    histograms = histograms.filter(F.col("load_no").isNotNull())  # rows without a load belong to none
     binned = histograms.filter(F.col("view").isin(VALUE, SIZE, LENGTH, FORM, SHARED)).select("column_id", "view", "load_no", "bin", "n")
     share = binned.withColumn("share", F.col("n") / F.sum("n").over(W.partitionBy("column_id", "view", "load_no")))
     loads = share.groupBy("column_id", "view").agg(F.count_distinct("load_no").alias("loads"))
@@ -326,21 +355,8 @@ def departures(counts: pd.DataFrame) -> pd.Series:
     return excess[excess > limit]
 
 
-def distinct_departures(ratios: pd.DataFrame) -> pd.Series:
-    """The same for the share of distinct values among non-null ones, a number a load. It depends on the number of values: loads with
-    less than half or more than twice the usual number are not compared."""
-    some = ratios[ratios["of"] > 0]
-    if len(some) < 3:
-        return pd.Series(dtype=float)
-    ratio = some["n"] / some["of"]
-    middle = ratio.median()
-    off = (ratio - middle).abs()
-    near = some["of"].between(some["of"].median() / 2, some["of"].median() * 2)
-    return off[near & (off > max(0.1, DEVIATIONS * 1.4826 * off.median()))]
-
-
 def equal_size_departures(often: pd.DataFrame) -> pd.Series:
-    """The same for every load, whatever its number of values. ``often``: ``load_no, n, of``, the numbers of distinct values that occur
+    """The same for the share of distinct values among non-null ones, for every load whatever its number of values. ``often``: ``load_no, n, of``, the numbers of distinct values that occur
     about equally often in a load and of their rows.
 
     Two loads are compared at the size of the smaller one: the larger is thinned to it in expectation. A load's departure is the median

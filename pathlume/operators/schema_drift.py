@@ -22,6 +22,7 @@ from collections.abc import Iterator
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql import Window as W
 
 from pathlume.sources.workspace import written
@@ -31,8 +32,9 @@ TYPE_PREFIXES = (("bool", "BOOL"), ("int", "INT"), ("uint", "INT"), ("float", "F
 MAGNITUDE_BINS_PER_DECADE = 20
 VALUE_BINS = 1024
 SAME_CONTENT = 0.5
-#: Columns with at most this share of distinct value bins to values, and at most so many, are compared by their values.
-FEW_SHARE, FEW_VALUES = 0.5, 64
+#: Between these numbers of distinct value bins, and shares of them to values, columns pass from being compared by how often each value
+#: occurs to being compared by magnitude, values in common and form.
+FEW_VALUES, FEW_SHARE = (32, 128), (0.4, 0.6)
 
 _PAIR = re.compile(r'\s*[{,]?\s*"((?:[^"\\]|\\.)*)"\s*:\s*("(?:[^"\\]|\\.)*"|\[[^\[\]]*\]|true|false|null|-?\d+(?:\.\d+)?(?:[eE][+-]?\d+)?)\s*(?=[,}])')
 _NUMBER = re.compile(r"-?\d+(?:\.\d+)?(?:[eE][+-]?\d+)?")
@@ -101,7 +103,7 @@ def magnitude_bin(number: float) -> int:
 def form_of(text: str, number: float | None) -> str:
     if number is not None:
         return f"{'-' if number < 0 else '+'}{min(len(text.partition('.')[2]), 4)}"
-    return re.sub(r"(.)\1+", r"\1", re.sub(r"\d", "0", re.sub(r"[a-z]", "a", re.sub(r"[A-Z]", "A", text))))[:40]
+    return re.sub(r"(.)\1+", r"\1", re.sub(r"\d", "0", re.sub(r"[a-z]", "a", re.sub(r"[A-Z]", "A", text))))
 
 
 def _summaries(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -114,7 +116,8 @@ def _summaries(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
                 text, number = canonical_text(value)
                 counts[dataset, file, name, "kind", kind_of(value)] += 1
                 counts[dataset, file, name, "value", str(zlib.crc32(text.encode()) % VALUE_BINS)] += 1
-                counts[dataset, file, name, "form", form_of(text, number)] += 1
+                form = form_of(text, number)  # the whole form, as a hash where it is long
+                counts[dataset, file, name, "form", form if len(form) <= 40 else f"#{zlib.crc32(form.encode())}"] += 1
                 if number is not None:
                     counts[dataset, file, name, "size", str(magnitude_bin(number))] += 1
         yield pd.DataFrame([(*k, n) for k, n in counts.items()], columns=["dataset_name", "filename", "column_name", "view", "bin", "n"])
@@ -220,12 +223,22 @@ def content_likeness(a: dict[str, dict[str, int]], b: dict[str, dict[str, int]],
     numeric = [sum(x.get("size", {}).values()) / k for x, k in ((a, n), (b, m))]
     if max(numeric) > 0.5 and min(numeric) < 0.9:
         return 0.0
-    if all(len(x["value"]) <= min(FEW_VALUES, max(2, FEW_SHARE * k)) for x, k in ((a, n), (b, m))):
-        alike = _overlap(a["value"], b["value"])
-        return alike if 1 - alike <= max(0.1, slack * _chance_gap(a["value"], b["value"])) else 0.5 * alike
+    alike = _overlap(a["value"], b["value"])
+    by_share = alike if 1 - alike <= max(0.1, slack * _chance_gap(a["value"], b["value"])) else 0.5 * alike
     if min(numeric) >= 0.9:
-        return math.exp(-max(0.0, _shift(a["size"], b["size"]) - _chance_shift(a["size"], b["size"])) / 0.2) * (0.5 + 0.5 * _overlap(a["form"], b["form"]))
-    return max(_overlap(a["value"], b["value"]), 0.9 * _overlap(a["form"], b["form"]))
+        by_size = math.exp(-max(0.0, _shift(a["size"], b["size"]) - _chance_shift(a["size"], b["size"])) / 0.2) * (0.5 + 0.5 * _overlap(a["form"], b["form"]))
+    else:
+        by_size = max(alike, 0.9 * _overlap(a["form"], b["form"]))
+    few = min(_fewness(len(x["value"]), k) for x, k in ((a, n), (b, m)))
+    return few * by_share + (1 - few) * by_size
+
+
+def _fewness(bins: int, values: int) -> float:
+    """1 for a column of few distinct values, 0 for one of many, and between them in between."""
+    if bins <= 2:
+        return 1.0
+    falling = lambda x, ends: min(1.0, max(0.0, (ends[1] - x) / (ends[1] - ends[0])))
+    return falling(bins, FEW_VALUES) * falling(bins / values, FEW_SHARE)
 
 
 def match_renames(gone: dict[str, dict], come: dict[str, dict], least: float = SAME_CONTENT) -> dict[str, str]:
@@ -340,15 +353,22 @@ def migration_rules(versions: DataFrame, steps: DataFrame) -> DataFrame:
     return opening.groupBy("dataset_name").applyInPandas(_rules, schema)
 
 
+_WHOLE = re.compile(r"[+-]?\d+")
+
+
 def cast_value(value, kind: str):
-    """A value under a logical type; None where it has none."""
+    """A value under a logical type; None where it has none. A fraction is no INT, and a whole number keeps all its figures."""
     if value is None or value != value:
         return None
     text, number = canonical_text(value)
     if kind == "BOOL":
         return None if number not in (0.0, 1.0) else bool(number)
     if kind == "INT":
-        return value if isinstance(value, int) and not isinstance(value, bool) else None if number is None else int(number)
+        if isinstance(value, int):
+            return int(value)
+        if isinstance(value, str) and _WHOLE.fullmatch(value.strip()):
+            return int(value.strip())
+        return int(number) if number is not None and number.is_integer() else None
     if kind == "FLOAT":
         return number
     if kind == "STRING":
@@ -358,31 +378,50 @@ def cast_value(value, kind: str):
 
 def _routed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for batch in batches:
-        records, whole = [], []
+        records, whole, failed = [], [], []
         for payload, rules, table in zip(batch["payload"], batch["rules"], batch["table"]):
             found, complete = read_payload(payload)
             record = {t["column_name"]: None for t in table}
+            lost = []
             for rule in rules:
-                if rule["source"] in found:
-                    record[rule["target"]] = cast_value(found[rule["source"]], rule["logical"])
+                value = found.get(rule["source"])
+                record[rule["target"]] = cast = cast_value(value, rule["logical"])
+                if cast is None and value is not None and value == value:
+                    lost.append(rule["target"])
             records.append(json.dumps(record, sort_keys=True, ensure_ascii=False))
             whole.append(complete)
-        yield batch[["dataset_name", "filename", "version", "row_no"]].assign(record=records, whole=whole)
+            failed.append(sorted(lost))
+        yield batch[["dataset_name", "filename", "version", "row_no"]].assign(record=records, whole=whole, failed=failed)
 
 
 def one_table(part_rows: DataFrame, versions: DataFrame, rules: DataFrame) -> DataFrame:
     """Every stored row of a listed file under the columns of its feed's table: ``dataset_name, filename, version, row_no, record,
-    whole``.
+    whole, failed``.
 
     ``record`` is a JSON object with all columns of the table, null by default. Rows stored twice come out once; of cut-off payloads
-    the complete pairs are kept and ``whole`` is false.
+    the complete pairs are kept and ``whole`` is false. ``failed`` names the columns whose value has no form under the column's type and
+    is null for that.
     """
     per_file = versions.select("dataset_name", "filename", "version").join(rules, ["dataset_name", "version"])
     distinct = part_rows.select("dataset_name", "filename", "row_no", "payload").distinct()
-    schema = "dataset_name string, filename string, version int, row_no int, record string, whole boolean"
+    schema = "dataset_name string, filename string, version int, row_no int, record string, whole boolean, failed array<string>"
     return distinct.join(per_file, ["dataset_name", "filename"]).mapInPandas(_routed, schema)
 
 
+#: Logical types as Spark types; lists and objects stay JSON text.
+SPARK_TYPES = {"INT": "bigint", "FLOAT": "double", "BOOL": "boolean", "STRING": "string", "OTHER": "string"}
+
+
+def typed_cells(table: DataFrame, rules: DataFrame) -> DataFrame:
+    """The values of ``one_table`` in long form, one row per row and column of its feed's table (null ones too), each in the column of its
+    type: ``dataset_name, filename, row_no, column_name, logical, int_value, float_value, bool_value, text_value``."""
+    columns = rules.groupBy("dataset_name").agg(F.first("table").alias("table"))
+    cells = table.select("dataset_name", "filename", "row_no", F.from_json("record", "map<string,string>").alias("m")).join(columns, "dataset_name").select("dataset_name", "filename", "row_no", "m", F.explode("table").alias("c"))
+    value, kind = F.col("m")[F.col("c.column_name")], F.col("c.logical")
+    of = lambda logical, name: F.when(kind.isin(*logical), value.try_cast(SPARK_TYPES[logical[0]])).alias(name)
+    return cells.select("dataset_name", "filename", "row_no", F.col("c.column_name").alias("column_name"), kind.alias("logical"), of(["INT"], "int_value"), of(["FLOAT"], "float_value"), of(["BOOL"], "bool_value"), of(["STRING", "OTHER"], "text_value"))
+
+
 class SchemaDrift:
     """The whole operator over one set of feeds. Summaries and versions are written to the shared folder once and used by all parts."""
 
@@ -399,3 +438,18 @@ class SchemaDrift:
 
     def table(self) -> DataFrame:
         return one_table(self.part_rows, self.versions, self.rules())
+
+    def cells(self) -> DataFrame:
+        """The one table in long form with typed values."""
+        rules = self.rules()
+        return typed_cells(one_table(self.part_rows, self.versions, rules), rules)
+
+    def feed(self, dataset_name: str) -> DataFrame:
+        """One feed's rows as a table with typed columns after ``filename`` and ``row_no``; columns that would clash with these get ``#``.
+        A feed without files has these two only."""
+        rows = self.rules().filter(F.col("dataset_name") == dataset_name).select("table").limit(1).collect()  # as many entries as columns
+        table = [(c["column_name"], SPARK_TYPES[c["logical"]]) for c in rows[0]["table"]] if rows else []
+        kind = T.StructType([T.StructField(name, T._parse_datatype_string(of)) for name, of in table])
+        records = self.table().filter(F.col("dataset_name") == dataset_name).select("filename", "row_no", F.from_json("record", kind).alias("r"))
+        taken = {"filename", "row_no"}
+        return records.select("filename", "row_no", *(F.col("r").getField(name).alias(f"{name}#" if name in taken else name) for name, _ in table))

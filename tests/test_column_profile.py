@@ -50,10 +50,26 @@ def test_constant_and_all_null_chunks_are_not_read(tmp_path, monkeypatch):
     assert not read and parts[parts["view"] == cp.NULLS].groupby("column_id")["n"].sum().to_dict() == {0: 0, 1: 20, 2: 0, 3: 20}
 
 
-def test_rows_without_a_load_number_are_load_minus_one(tmp_path):
-    pq.write_table(table_of([(None, 7, 1.0, True, "a"), (2, 8, 1.0, True, "a")]), tmp_path / "t.parquet")
-    parts = pd.concat(list(cp._partials_of(f"file://{tmp_path}/t.parquet", 0, [(0, "i", "INT")], "load_no")))
-    assert set(parts[parts["view"] == cp.ROWS]["load_no"]) == {-1, 2}
+def test_rows_without_a_load_number_belong_to_no_load(spark, tmp_path):
+    rows = [(None, 7, 1.0, True, "a")] * 900 + [(load, 8, 1.0, True, "a") for load in (-1, 0, 1, 2) for _ in range(50)]
+    pq.write_table(table_of(rows), tmp_path / "t.parquet")
+    of = cp.TableProfiles({"t": spark.read.parquet(str(tmp_path / "t.parquet"))}, {"t": ["i"]})
+    assert {(r["load_no"], r["n_rows"]) for r in of.profiles().collect()} == {(None, 900), (-1, 50), (0, 50), (1, 50), (2, 50)}
+    assert of.departures().count() == 0
+
+
+def test_whole_numbers_beyond_the_exact_floating_ones_are_distinct(spark, tmp_path):
+    pq.write_table(table_of([(1, v, 1.0, True, "a") for v in (2**53, 2**53 + 1, -(2**60), -(2**60) + 1)]), tmp_path / "t.parquet")
+    of = cp.TableProfiles({"t": spark.read.parquet(str(tmp_path / "t.parquet"))}, {"t": ["i"]})
+    assert of.profiles().first()["n_distinct"] == 4
+
+
+def test_names_of_object_storage_are_understood(monkeypatch):
+    import pyarrow.fs as pafs
+
+    asked = []
+    monkeypatch.setattr(pafs, "S3FileSystem", lambda **options: asked.append(options) or "store")
+    assert cp._file_system("s3a://box/a%20b/part.parquet", {"access_key": "k"}) == ("store", "box/a b/part.parquet") and asked == [{"access_key": "k"}]
 
 
 def test_empty_tables_have_no_profile(spark, tmp_path):
@@ -79,11 +95,6 @@ def test_departing_loads_stand_out_and_chance_does_not():
     assert cp.departures(counts([usual] * 2, [100] * 2)).empty
 
 
-def test_distinct_ratios():
-    ratios = pd.DataFrame({"n": [40, 42, 41, 80, 3], "of": [100, 100, 100, 100, 4]})
-    assert list(cp.distinct_departures(ratios).index) == [3]  # the last has too few values to be compared
-
-
 def test_records(spark):
     profiles = spark.createDataFrame(
         [("t", 1, "i", 10, 0, 5, 1.0, 9.0, "INT"), ("t", 2, "i", 10, 10, 0, None, None, "INT"), ("t", 1, "s", 10, 0, 5, None, None, "STRING"), ("t", 3, "s", 10, 0, 5, None, None, "STRING"), ("t", 1, "b", 10, 0, 2, None, None, "BOOL")],

@@ -23,7 +23,7 @@ def test_values_are_alike_whatever_their_type():
     assert sd.canonical_text(5.0) == sd.canonical_text("5") == sd.canonical_text(5) == ("5", 5.0)
     assert sd.canonical_text(True) == sd.canonical_text("True") == sd.canonical_text(1)
     assert sd.canonical_text(["a", "b"]) == ("a|b", None)
-    assert [sd.cast_value("1.5", k) for k in ("INT", "FLOAT", "STRING", "BOOL")] == [1, 1.5, "1.5", None]
+    assert [sd.cast_value("1.5", k) for k in ("INT", "FLOAT", "STRING", "BOOL")] == [None, 1.5, "1.5", None]
     assert sd.cast_value("x", "INT") is None and sd.cast_value(True, "STRING") == "true" and sd.cast_value(None, "INT") is None
     assert sd.wider({"INT", "FLOAT"}) == "FLOAT" and sd.wider({"BOOL", "STRING"}) == "STRING"
     assert [sd.logical_type_of(t) for t in ("Int64", "uint32", "float32", "boolean", "category", "object", "list<string>", None)] == ["INT", "INT", "FLOAT", "BOOL", "STRING", "STRING", "OTHER", "OTHER"]
@@ -107,3 +107,45 @@ def test_empty_feeds(spark):
     assert of.steps().count() == 0 and of.table().count() == 0
     lost = sd.SchemaDrift(spark.createDataFrame([("f", 1, "a", ""), (None, 2, "b", "")], FILES), spark.createDataFrame([("f", "a", 0, "x", None)], COLUMNS), spark.createDataFrame([("f", "a", 0, None, ""), (None, None, None, "{}", "")], ROWS))
     assert lost.steps().count() == 0 and [r["record"] for r in lost.table().collect()] == ['{"x": null}']
+
+
+def test_casts_keep_figures_and_record_what_is_lost(drift, spark):
+    assert sd.cast_value("9007199254740993", "INT") == 9007199254740993 and sd.cast_value(2**60 + 1, "INT") == 2**60 + 1
+    assert sd.cast_value("3.7", "INT") is None and sd.cast_value(3.7, "INT") is None and sd.cast_value("3.0", "INT") == 3 and sd.cast_value(True, "INT") == 1
+    feed = Feed()
+    feed.file(1, {"n": ("id", "int64", lambda v: "3.7" if v % 2 else v)})
+    of = feed.drift(spark)
+    rows = of.table().collect()
+    assert {tuple(r["failed"]) for r in rows} <= {(), ("n",)} and all(json.loads(r["record"])["n"] is None for r in rows if r["failed"]) and 0 < sum(bool(r["failed"]) for r in rows) < len(rows)
+
+
+def test_texts_alike_in_their_first_forty_characters_differ():
+    start = "".join("aB0-"[i % 4] for i in range(60))
+    summary = lambda tail: {"value": {str(i): 1 for i in range(200)} if tail == "x" else {str(i + 300): 1 for i in range(200)}, "form": sd_form(start + tail)}
+    assert sd.content_likeness(summary("x"), summary("-0-0-")) < sd.SAME_CONTENT
+
+
+def sd_form(text):
+    parts = list(sd._summaries(iter([sd.pd.DataFrame({"dataset_name": ["f"] * 200, "filename": ["a"] * 200, "payload": [json.dumps({"c": text})] * 200})])))
+    return {b: int(n) for b, n in sd.pd.concat(parts).query("view == 'form'")[["bin", "n"]].itertuples(index=False)}
+
+
+def test_likeness_has_no_cliff_in_the_number_of_values():
+    def pair(k):
+        a, b = ({str(i + shift): 10 for i in range(k)} for shift in (0, k // 10))
+        return {"value": a, "form": {"a": 10 * k}}, {"value": b, "form": {"a": 10 * k}}
+
+    scores = [sd.content_likeness(*pair(k)) for k in range(30, 140)]
+    assert max(abs(x - y) for x, y in zip(scores, scores[1:])) < 0.1
+
+
+def test_typed_cells_and_feeds(drift):
+    of, _ = drift
+    cells = of.cells().filter("dataset_name = 'f'").collect()
+    assert len(cells) == 6 * 25 * 6
+    kinds = {r["column_name"]: r["logical"] for r in cells}
+    assert kinds == {"userId": "STRING", "mood": "STRING", "weight": "FLOAT", "ok": "INT", "city": "STRING", "price": "FLOAT"}
+    assert all((r["float_value"] is None) or r["logical"] == "FLOAT" for r in cells)
+    feed = of.feed("f")
+    assert dict(feed.dtypes) | {"filename": "string"} == {"filename": "string", "row_no": "int", "userId": "string", "mood": "string", "weight": "double", "ok": "bigint", "city": "string", "price": "double"}
+    assert feed.count() == 150 and of.feed("none").columns == ["filename", "row_no"]
