@@ -14,6 +14,8 @@ from pathlume.plans.engine import CohortEngine
 from pathlume.plans.errors import ProblemKind, QueryProblem
 from pathlume.plans.validate import Checked, check
 from pathlume.sources.catalog import Catalog, Dataset, RegistrationError
+from pathlume.sources.storage import write_rows
+from pathlume.stats import run_metrics
 
 POLL_S = 0.25
 
@@ -61,8 +63,9 @@ class Lume:
         dataset = self.catalog.get(name) if name else None
         return check(query, dataset.context() if dataset else None, schema_only)
 
-    def run_query(self, name: str, query: dict, request: str | None = None) -> dict:
-        """The result document with statistics, or what is wrong with the request."""
+    def run_query(self, name: str, query: dict, request: str | None = None, export_metrics: str | None = None) -> dict:
+        """The result document with statistics, or what is wrong with the request. ``export_metrics`` names a Parquet or CSV path for the run's
+        figures in long form."""
         request, begun = request or _request_id(), time.time()
         try:
             dataset = self.catalog.get(name)
@@ -72,10 +75,31 @@ class Lume:
         except QueryProblem as problem:
             return {"success": False, "requestId": request, "errorMessage": problem.message, "errorKind": problem.kind.name}
         self.catalog.mark_used(name)
-        found = result.to_dict()
-        scanned = {"totalTime": time.time() - begun, "dataset": {"totalParts": len(dataset.file_names), "totalSize": sum(dataset.file_sizes)}, "cost": None}
+        context = self.spark.sparkContext
+        outer = context.getLocalProperty("spark.jobGroup.id")
+        context.setJobGroup(request, f"query over {name}")
+        try:
+            found = result.to_dict()
+            queried = time.time() - begun
+            counts = result.scanned().first()
+            done = self.progress(request)
+        finally:
+            context.setLocalProperty("spark.jobGroup.id", outer)
+        seconds, scanned = {"query": queried, "total": time.time() - begun}, {"rows": counts["scanned_rows"], "groups": counts["scanned_groups"]}
+        if export_metrics:
+            write_rows(run_metrics(self.spark, request, seconds, scanned, done), export_metrics)
+        stats = {
+            "totalTime": seconds["total"],
+            "queryTime": queried,
+            "totalTasks": done["tasks"],
+            "failedTasks": done["failed"],
+            "scannedRows": scanned["rows"],
+            "scannedGroups": scanned["groups"],
+            "dataset": {"totalParts": len(dataset.file_names), "totalSize": sum(dataset.file_sizes)},
+            "cost": None,
+        }
         warnings = {"warnings": result.checked.warnings} if result.checked.warnings else {}
-        return {"success": True, "requestId": request, **found, "stats": scanned, **warnings}
+        return {"success": True, "requestId": request, **found, "stats": stats, **warnings}
 
     def run_query_async(self, name: str, query: dict) -> tuple[str, Future]:
         """The request id, which is also the job group of the query's Spark jobs, and the result to come."""

@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import datetime
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+EPOCH = datetime.datetime(1970, 1, 1)
 FLOATS = (T.FloatType, T.DoubleType)
 
 
@@ -36,7 +39,7 @@ def blank_free(column: Column) -> Column:
 def epoch_ms(column: Column, kind: T.DataType, scale: float = 1.0) -> Column:
     """Epoch milliseconds of a numeric time (times ``scale``, rounded) or of a timestamp; null where it has none."""
     if isinstance(kind, (T.TimestampType, T.TimestampNTZType)):
-        return F.expr(f"timestampdiff(MILLISECOND, timestamp_ntz'1970-01-01 00:00:00', cast({column._jc.toString()} as timestamp_ntz))")
+        return F.timestamp_diff("MILLISECOND", F.lit(EPOCH), column.cast("timestamp_ntz"))
     value = without_nan(column, kind)
     if isinstance(kind, FLOATS) or scale != 1.0:
         return F.round(value * F.lit(float(scale))).try_cast("bigint")

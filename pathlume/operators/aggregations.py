@@ -57,34 +57,42 @@ def key_text(value: Column, kind: T.DataType) -> Column:
     return value.cast("string")
 
 
-def aggregate_column(base: DataFrame, groups: DataFrame, group: str, column: str, wanted: list[Aggregation], holds: dict[tuple[str, int | None], Column]) -> DataFrame:
-    """Results (``RESULT``) of the aggregations of one column.
+def aggregate_columns(base: DataFrame, groups: DataFrame | None, group: str, wanted: list[Aggregation], holds: dict[tuple[str, int | None], Column]) -> DataFrame:
+    """Results (``RESULT``) of all aggregations, from one reading of the rows.
 
-    ``groups`` has one row per chosen group; ``holds`` tells for each (scope, step) whether a group belongs to it. ``base`` must have
-    no NaN. Null values are no keys and count nothing. Of equal values the keys first in order stay within ``top``.
+    ``groups`` has one row per chosen group, None where all are chosen; ``holds`` tells for each (scope, step) whether a group belongs to
+    it. ``base`` must have no NaN. Null values are no keys and count nothing. Of equal values the keys first in order stay within ``top``.
+
+    A row gives one cell for each of its columns that has a value; cells are folded by group, column and key before anything is joined.
     """
+    columns = list(dict.fromkeys(a.column for a in wanted))
     others = list(dict.fromkeys(a.other for a in wanted if a.other))
+    cells = F.array_compact(F.array(*(F.when(col(c).isNotNull(), F.struct(F.lit(i).alias("c"), key_text(col(c), base.schema[c].dataType).alias("k"))) for i, c in enumerate(columns))))
     folded = (
-        base.filter(col(group).isNotNull() & col(column).isNotNull())
-        .groupBy(col(group).alias("__group"), col(column).alias("__value"))
-        .agg(F.count(F.lit(1)).alias("__n"), *(x for i, o in enumerate(others) for x in (F.sum(col(o)).alias(f"__sum{i}"), F.count(col(o)).alias(f"__cnt{i}"))))
+        base.filter(col(group).isNotNull())
+        .select(col(group).alias("__group"), *(col(o).alias(f"__o{j}") for j, o in enumerate(others)), F.explode(cells).alias("__cell"))
+        .groupBy("__group", F.col("__cell.c").alias("__c"), F.col("__cell.k").alias("__k"))
+        .agg(F.count(F.lit(1)).alias("__n"), *(x for j in range(len(others)) for x in (F.sum(f"__o{j}").alias(f"__sum{j}"), F.count(f"__o{j}").alias(f"__cnt{j}"))))
     )
     scopes = list(dict.fromkeys((a.scope, a.step) for a in wanted))
-    chosen = groups.select(col(group).alias("__group"), *(holds[s].alias(f"__in{i}") for i, s in enumerate(scopes)))
-    joined = folded.join(chosen, "__group")
+    if groups is None:
+        joined = folded.withColumns({f"__in{i}": F.lit(True) for i in range(len(scopes))})
+    else:
+        joined = folded.join(groups.select(col(group).alias("__group"), *(holds[s].alias(f"__in{i}") for i, s in enumerate(scopes))), "__group")
     measures = []
-    for i, _ in enumerate(scopes):
+    for i in range(len(scopes)):
         inside = col(f"__in{i}")
         measures += [F.sum(F.when(inside, col("__n"))).alias(f"rows{i}"), F.count_if(inside).alias(f"groups{i}")]
-        for j, _o in enumerate(others):
+        for j in range(len(others)):
             measures += [F.sum(F.when(inside, col(f"__sum{j}"))).alias(f"sum{i}_{j}"), F.sum(F.when(inside, col(f"__cnt{j}"))).alias(f"cnt{i}_{j}")]
-    per_value = joined.groupBy("__value").agg(*measures)
+    per_value = joined.groupBy("__c", "__k").agg(*measures)
     parts = []
     if keyed := [a for a in wanted if a.per_value]:
-        parts.append(_keyed(per_value, base.schema[column].dataType, keyed, scopes, others))
+        parts.append(_keyed(per_value, columns, keyed, scopes, others))
     if plain := [a for a in wanted if not a.per_value]:
-        sums = per_value.agg(*(F.coalesce(F.sum(f"rows{i}"), F.lit(0)).alias(f"rows{i}") for i in range(len(scopes))))
-        parts.append(sums.select(F.explode(F.array(*(_row(a, F.lit(None).cast("string"), col(f"rows{scopes.index((a.scope, a.step))}").cast("double"), None) for a in plain))).alias("r")).select("r.*"))
+        of = lambda a: F.coalesce(F.sum(F.when(F.col("__c") == columns.index(a.column), col(f"rows{scopes.index((a.scope, a.step))}"))), F.lit(0))
+        sums = per_value.agg(*(of(a).cast("double").alias(f"v{n}") for n, a in enumerate(plain)))
+        parts.append(sums.select(F.explode(F.array(*(_row(a, F.lit(None).cast("string"), col(f"v{n}"), None) for n, a in enumerate(plain)))).alias("r")).select("r.*"))
     return reduce(DataFrame.unionByName, parts)
 
 
@@ -102,7 +110,7 @@ def _row(a: Aggregation, key: Column, value: Column, top: int | None) -> Column:
     )
 
 
-def _keyed(per_value: DataFrame, kind: T.DataType, wanted: list[Aggregation], scopes: list, others: list[str]) -> DataFrame:
+def _keyed(per_value: DataFrame, columns: list[str], wanted: list[Aggregation], scopes: list, others: list[str]) -> DataFrame:
     rows = []
     for a in wanted:
         i = scopes.index((a.scope, a.step))
@@ -114,8 +122,8 @@ def _keyed(per_value: DataFrame, kind: T.DataType, wanted: list[Aggregation], sc
             "sumPerValue": lambda: F.coalesce(total, F.lit(0.0)),  # noqa: B023
             "meanPerValue": lambda: F.when(col(f"cnt{i}_{j}") > 0, total / col(f"cnt{i}_{j}")),  # noqa: B023
         }[a.type]()
-        row = _row(a, key_text(col("__value"), kind), value, a.top)
-        rows.append(F.when(col(f"groups{i}") > 0, row))
+        row = _row(a, col("__k"), value, a.top)
+        rows.append(F.when((col("__c") == columns.index(a.column)) & (col(f"groups{i}") > 0), row))
     long = per_value.select(F.explode(F.array(*rows)).alias("r")).filter(F.col("r").isNotNull()).select("r.*")
     best = W.partitionBy("scope", "step", "position").orderBy(F.col("value").desc_nulls_last(), F.col("key"))
     # limits come before the shuffle (window group limit): a task sees the best of each other task, not all values

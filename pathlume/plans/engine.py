@@ -10,17 +10,17 @@
 from __future__ import annotations
 
 from contextlib import contextmanager
-from functools import cached_property, reduce
+from functools import cached_property
 
 from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from pathlume.functions.normalize import col, nan_to_null
+from pathlume.functions.normalize import EPOCH, col, nan_to_null
 from pathlume.functions.predicates import COMPARISONS, NEGATED, row_predicate
-from pathlume.operators.aggregations import RESULT, Aggregation, aggregate_column, requested
+from pathlume.operators.aggregations import RESULT, Aggregation, aggregate_columns, requested
 from pathlume.operators.hot_keys import Measure
-from pathlume.operators.sequences import DEFAULT_HEAVY_SHARE, sequence_reach
+from pathlume.operators.sequences import DEFAULT_HEAVY_ROWS, sequence_reach
 from pathlume.plans.errors import QueryProblem
 from pathlume.plans.relation import fold
 from pathlume.plans.validate import Checked, QueryContext, check
@@ -38,7 +38,7 @@ def within_timeframe(df: DataFrame, time: str, frame: dict) -> DataFrame:
             return F.lit(value)
         if isinstance(value, str):
             return F.lit(value).cast("timestamp_ntz")
-        return F.expr(f"timestampadd(MICROSECOND, {int(value)}, timestamp_ntz'1970-01-01 00:00:00')")
+        return F.timestamp_add("MICROSECOND", F.lit(int(value)), F.lit(EPOCH))
 
     if frame.get("from") is not None:
         df = df.filter(col(time) >= bound(frame["from"]))
@@ -55,8 +55,8 @@ def _holds(measure: Column, op: str, value: object) -> Column:
 class CohortResult:
     """A query's results as lazy DataFrames. ``to_dict`` runs them."""
 
-    def __init__(self, df: DataFrame, group: str, time: str, checked: Checked, heavy_share: float | None):
-        self.group, self.time, self.checked, self.heavy_share = group, time, checked, heavy_share
+    def __init__(self, df: DataFrame, group: str, time: str, checked: Checked, heavy_rows: int | None):
+        self.group, self.time, self.checked, self.heavy_rows = group, time, checked, heavy_rows
         self.query = checked.expanded.get("query", {})
         self.funnel_spec = checked.expanded.get("funnel")
         frame = checked.expanded.get("timeframe") or {}
@@ -81,7 +81,7 @@ class CohortResult:
         if self.funnel_spec:
             sequences[STEP] = self.funnel_spec["sequence"]
         if sequences:
-            found = sequence_reach(self.base, self.group, self.time, sequences, measures, self.heavy_share)
+            found = sequence_reach(self.base, self.group, self.time, sequences, measures, self.heavy_rows)
         else:
             found = self.base.filter(col(self.group).isNotNull()).groupBy(col(self.group)).agg(*(m.partial() for m in measures))
         matches = F.lit(True)
@@ -108,7 +108,8 @@ class CohortResult:
         return self.matching.select(col(self.group), col(ROWS).alias("group_rows"))
 
     def matching_rows(self) -> DataFrame:
-        """All rows (columns used) of the matching groups."""
+        """All rows (columns used) of the matching groups. Where the groups are too many to broadcast, a hot group's rows are split over tasks
+        by the adaptive skew join (its other side is one row)."""
         return self.base.join(self.matching.select(col(self.group)), self.group, "left_semi")
 
     def summary(self) -> DataFrame:
@@ -148,8 +149,13 @@ class CohortResult:
             return self.base.sparkSession.createDataFrame([], RESULT)
         holds: dict[tuple[str, int | None], Column] = {("query", None): F.lit(True), ("end", None): col(STEP) == self._steps()}
         holds |= {("step", i): col(STEP) > i for i in range(self._steps())}
-        columns = list(dict.fromkeys(a.column for a in wanted))
-        return reduce(DataFrame.unionByName, [aggregate_column(self.base, self.matching, self.group, c, [a for a in wanted if a.column == c], holds) for c in columns])
+        everyone = self.checked.relation is None and not self.funnel_spec
+        return aggregate_columns(self.base, None if everyone else self.matching, self.group, wanted, holds)
+
+    def scanned(self) -> DataFrame:
+        """One row: ``scanned_rows`` within the timeframe and ``scanned_groups`` they belong to, matching or not."""
+        rows = self.base.groupBy(col(self.group).alias("g")).agg(F.count(F.lit(1)).alias("n"))
+        return rows.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("scanned_rows"), F.count("g").alias("scanned_groups"))
 
     # --- results
 
@@ -197,15 +203,15 @@ class CohortResult:
 class CohortEngine:
     """Runs queries over any DataFrame with a group id and a time column (numeric or timestamp)."""
 
-    def __init__(self, group_id_column: str, timestamp_column: str, heavy_share: float | None = DEFAULT_HEAVY_SHARE):
-        self.group_id_column, self.timestamp_column, self.heavy_share = group_id_column, timestamp_column, heavy_share
+    def __init__(self, group_id_column: str, timestamp_column: str, heavy_rows: int | None = DEFAULT_HEAVY_ROWS):
+        self.group_id_column, self.timestamp_column, self.heavy_rows = group_id_column, timestamp_column, heavy_rows
 
     def run(self, df: DataFrame, query: dict, context: QueryContext | None = None) -> CohortResult:
         """Raises ``QueryProblem`` for a query that does not fit the table."""
         checked = check(query, context or QueryContext.of(df.schema, self.group_id_column, self.timestamp_column))
         if not checked.success:
             raise checked.problem
-        return CohortResult(df, self.group_id_column, self.timestamp_column, checked, self.heavy_share)
+        return CohortResult(df, self.group_id_column, self.timestamp_column, checked, self.heavy_rows)
 
 
 __all__ = ["CohortEngine", "CohortResult", "QueryProblem"]

@@ -43,6 +43,8 @@ def _having(condition: str) -> str:
 
 # --- empty query and timeframe
 
+_add("scanned", {"timeframe": {"from": "2024-01-05 00:00:00"}}, lambda r: r.scanned(), "select count(*) as scanned_rows, count(distinct user_id) as scanned_groups from events where ts >= timestamp '2024-01-05 00:00:00'")
+
 _add("empty_query", {}, _summary, "select count(distinct user_id) as matching_groups, count(*) as matching_group_rows from events")
 _add(
     "timeframe_from_to",

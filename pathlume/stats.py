@@ -20,14 +20,16 @@ def percentile_name(p: float) -> str:
     return f"p{p * 100:g}"
 
 
-def timing_summary(df: DataFrame, value: str, by: list[str] = ()) -> DataFrame:
-    """``n, min, mean, max`` and exact percentiles (linear between ranks) of a numeric column, in all or by other columns.
+def timing_summary(df: DataFrame, value: str, by: list[str] = (), accuracy: int | None = None) -> DataFrame:
+    """``n, min, mean, max`` and percentiles of a numeric column, in all or by other columns. They are exact (linear between ranks), for
+    which a task holds the distinct values of a group; with an ``accuracy`` (10,000 say) they are values whose rank is off by at most
+    one in so many, from summaries of bounded size.
 
     With fewer than 20 values only the median is given, with fewer than 100 no 99th percentile; the others are null. NaN and null do
     not count.
     """
     x = nan_to_null(df).select(*(col(b) for b in by), col(value).cast("double").alias("__x"))
-    found = x.groupBy(*(col(b) for b in by)).agg(F.count("__x").alias("n"), F.min("__x").alias("min"), F.avg("__x").alias("mean"), F.max("__x").alias("max"), F.percentile("__x", F.array(*map(F.lit, PERCENTILES))).alias("__p"))
+    found = x.groupBy(*(col(b) for b in by)).agg(F.count("__x").alias("n"), F.min("__x").alias("min"), F.avg("__x").alias("mean"), F.max("__x").alias("max"), (F.percentile("__x", F.array(*map(F.lit, PERCENTILES))) if accuracy is None else F.percentile_approx("__x", list(PERCENTILES), accuracy)).alias("__p"))
 
     def allowed(p: float):
         enough = F.lit(True) if p == 0.5 else F.col("n") >= (MANY if p >= 0.99 else FEW)
@@ -62,3 +64,9 @@ def job_statistics(metrics: DataFrame, failed: str = "failed") -> dict:
         "timingSeconds": timings,
         "cost": None,
     }
+
+
+def run_metrics(spark: SparkSession, request: str, seconds: dict[str, float], scanned: dict[str, int], tasks: dict[str, int]) -> DataFrame:
+    """The figures of one run in long form, for ``write_rows``."""
+    found = {**{f"{k}_seconds": v for k, v in seconds.items()}, **{f"scanned_{k}": v for k, v in scanned.items()}, **{f"tasks_{k}": v for k, v in tasks.items()}}
+    return metrics_table(spark, [(request, k, float(v)) for k, v in found.items()])

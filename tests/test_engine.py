@@ -1,4 +1,7 @@
+"""The engine against a plain model of it: loans of a library's readers, drawn at random, and queries made from parts."""
+
 import math
+import operator
 import random
 
 import pytest
@@ -11,181 +14,216 @@ from pathlume.operators.sequences import sequence_reach
 from pathlume.plans.engine import CohortEngine
 from pathlume.plans.errors import QueryProblem
 
-KINDS = ["fishing", "running", "climbing", "snorkeling"]
-TYPES = ["view", "click", "purchase", "a2c"]
-WORDS = ["cat|dog", "mouse|cat|dog", "cat", "dog|mouse|cat"]
-START = 1610555782
-
-
-@pytest.fixture(scope="module")
-def users(spark):
-    rows = [(u, START + k + i, KINDS[i % 4], TYPES[i % 4], 100 + k + i, f"{WORDS[i % 4]}_{u}") for k, u in enumerate("abcd", 2) for i in range(2**k)]
-    return spark.createDataFrame(rows, "id string, timestamp long, category string, type string, price long, keywords string").cache()
-
-
-def ask(df, query, group="id", time="timestamp"):
-    return CohortEngine(group, time).run(df, query).to_dict()
-
-
-def counted(df, conditions, **more):
-    q = ask(df, {"query": {"conditions": conditions, **more}})["query"]
-    return q["matchingGroups"], q["matchingGroupRows"]
-
+SCHEMA = "reader string, lent long, shelf string, pages long, fine double, back boolean"
+NAMES = [c.split()[0] for c in SCHEMA.split(", ")]
+COMPARE = {"==": operator.eq, "!=": operator.ne, ">": operator.gt, ">=": operator.ge, "<": operator.lt, "<=": operator.le}
 
-def test_no_conditions_match_all(users):
-    assert ask(users, {}) == {"query": {"matchingGroups": 4, "matchingGroupRows": 60}}
 
-
-def test_conditions_and_relation(users):
-    many = {"filter": ["price", ">", 133], "target": ["count", ">", 2]}
-    low = {"filter": ["price", "<=", 104], "target": ["count", ">", 2]}
-    assert counted(users, [many]) == (1, 32)
-    assert counted(users, [many, low], relation="or") == (2, 36)
-    assert counted(users, [many, low]) == (0, 0)
-    assert counted(users, [{"filters": [{"column": "price", "op": "<=", "value": 104}, {"column": "category", "op": "==", "value": "running"}], "target": ["count", "==", 1]}]) == (2, 12)
-
-
-@pytest.mark.parametrize(("op", "value", "rows"), [("contains", "dog_a", 0), ("contains", "dog_b", 8), ("contains", "dog_c", 16), ("==", "cat_a", 0), ("==", "cat_c", 16), ("!=", "cat_a", 56), ("not contains", "mouse", 56), ("contains", "d.g", 0)])
-def test_text_operators(users, op, value, rows):
-    assert counted(users, [{"filter": ["keywords", op, value], "target": ["count", ">", 3]}])[1] == rows
-
-
-@pytest.mark.parametrize(("op", "value", "groups"), [("==", 2, 1), ("<", 3, 2), (">", 2, 2), ("<=", 1, 1), (">=", 4, 1), ("!=", 1, 3)])
-def test_count_targets(users, op, value, groups):
-    assert counted(users, [{"filter": ["timestamp", "<=", START + 5], "target": ["count", op, value]}])[0] == groups
-
-
-def test_default_aggregations(users):
-    a, b, c = ask(users, {"query": {"aggregations": [{"column": "category"}]}})["query"]["aggregations"]
-    assert (a["type"], a["value"]) == ("count", 60)
-    assert b["value"] == dict.fromkeys(KINDS, 15) and c["value"] == dict.fromkeys(KINDS, 4)
-    assert list(b["value"]) == sorted(KINDS)  # ties by key
+def loans(seed, n=160):
+    rng = random.Random(seed)
+    return [
+        (rng.choice(["ada", "ada", "ada", "bo", "cy", "di", None]), rng.randrange(100, 140), rng.choice(["A1", "A2", "B1", "", None]), rng.choice([None, *range(0, 900, 150)]), rng.choice([None, math.nan, 0.0, 1.25, 2.5, -1.0]), rng.choice([True, False, None]))
+        for _ in range(n)
+    ]
 
 
-def test_sum_and_mean_per_value(spark):
-    df = spark.createDataFrame([("u", i, "ab"[i % 2], i) for i in range(10)], "id string, timestamp long, category string, price long")
-    got = ask(df, {"query": {"aggregations": [{"column": "category", "type": t, "otherColumn": "price", "name": t} for t in ("sumPerValue", "meanPerValue")]}})["query"]["aggregations"]
-    assert [g["value"] for g in got] == [{"b": 25.0, "a": 20.0}, {"b": 5.0, "a": 4.0}] and got[0]["name"] == "sumPerValue"
+def clean(rows):
+    return [dict(zip(NAMES, (None if isinstance(v, float) and v != v else v for v in r))) for r in rows]
 
 
-def test_sums(spark):
-    df = spark.createDataFrame([(i, "a", i) for i in range(1, 1001)] + [(7, "b", 7)], "f long, id string, timestamp long")
-    assert counted(df, [{"filter": ["f", ">=", 0], "target": ["sum", "f", "==", 500500]}]) == (1, 1000)
-    assert counted(df, [{"filter": ["f", ">", 5000], "target": ["sum", "f", "<", 5]}]) == (0, 0)
+def meets(row, f):
+    column, op, value = f
+    v = row[column]
+    if op == "contains":
+        return v is not None and value in v
+    if op == "not contains":
+        return v is None or value not in v
+    if v is None:
+        return op == "!="
+    return COMPARE[op](v, value)
 
 
-@pytest.mark.parametrize(("op", "value", "count", "rows"), [("==", True, "==", 1), ("!=", True, ">", 2), ("==", False, "==", 2), ("!=", False, "==", 3)])
-def test_null_flags(spark, op, value, count, rows):
-    df = spark.createDataFrame([(True, "a", 1), (False, "b", 2), (None, "b", 3)], "flag boolean, id string, timestamp long")
-    assert counted(df, [{"filter": ["flag", op, value], "target": ["count", count, 1]}])[1] == rows
+def matches(rows, c):
+    if "sequence" in c:
+        at = None
+        for step in c["sequence"]:
+            due = [r["lent"] for r in rows if meets(r, step["filter"]) and r["lent"] is not None and (at is None or r["lent"] > at)]
+            if not due:
+                return False
+            at = min(due)
+        return True
+    filters = [c["filter"]] if "filter" in c else [(f["column"], f["op"], f["value"]) for f in c["filters"]]
+    found = [r for r in rows if all(meets(r, f) for f in filters)]
+    target = c.get("target", ["count", ">=", 1])
+    if target[0] == "sum":
+        return bool(found) and COMPARE[target[2]](sum(r[target[1]] or 0 for r in found), target[3])
+    if not found:
+        return bool(c.get("includeZero") or target[1:] == ["==", 0])
+    return COMPARE[target[1]](len(found), target[2])
+
+
+def model(rows, conditions, either):
+    groups = {}
+    for r in clean(rows):
+        if r["reader"] is not None:
+            groups.setdefault(r["reader"], []).append(r)
+    fits = any if either else all
+    return {g: own for g, own in groups.items() if not conditions or fits(matches(own, c) for c in conditions)}
+
+
+FILTERS = [["shelf", "==", "A1"], ["shelf", "!=", "A1"], ["shelf", "contains", "A"], ["shelf", "not contains", "1"], ["pages", ">", 300], ["pages", "<=", 150], ["fine", ">=", 1.25], ["fine", "!=", 0], ["back", "==", True], ["back", "!=", True]]
+
+
+def condition(rng):
+    kind = rng.random()
+    if kind < 0.25:
+        return {"sequence": [{"filter": rng.choice(FILTERS)} for _ in range(rng.randint(1, 3))]}
+    c = {"filter": rng.choice(FILTERS)} if kind < 0.7 else {"filters": [dict(zip(("column", "op", "value"), f)) for f in rng.sample(FILTERS, 2)]}
+    if rng.random() < 0.4:
+        c["target"] = ["sum", rng.choice(["pages", "fine"]), rng.choice(list(COMPARE)), rng.choice([0, 2.5, 1500])]
+    elif rng.random() < 0.8:
+        op, n = rng.choice(list(COMPARE)), rng.choice([0, 1, 3, 8])
+        c["target"] = ["count", op, n]
+        if (op, n) != ("==", 0) and COMPARE[op](0, n) and rng.random() < 0.5:
+            c["includeZero"] = True
+    return c
+
+
+@pytest.mark.parametrize("seed", range(14))
+def test_random_conditions_equal_the_model(spark, seed):
+    rng = random.Random(seed)
+    rows, conditions, either = loans(seed), [condition(rng) for _ in range(rng.randint(0, 3))], rng.random() < 0.5
+    expected = model(rows, conditions, either)
+    query = {"query": {"conditions": conditions, **({"relation": "or" if either else "and"} if conditions else {})}}
+    result = CohortEngine("reader", "lent").run(spark.createDataFrame(rows, SCHEMA), query)
+    assert {r["reader"]: r["group_rows"] for r in result.matching_groups().collect()} == {g: len(own) for g, own in expected.items()}, query
 
 
-def test_null_and_nan_values(spark):
-    rows = [("a", 1, 5.0, "x"), ("a", 2, math.nan, None), ("b", 1, None, "y"), ("c", 1, math.nan, "x"), (None, 1, 9.0, "x")]
-    df = spark.createDataFrame(rows, "id string, timestamp long, v double, s string")
-    assert counted(df, [{"filter": ["v", ">", 1]}]) == (1, 2)
-    assert counted(df, [{"filter": ["v", "!=", 5]}]) == (3, 4)
-    assert counted(df, [{"filter": ["v", "<=", 1e300], "target": ["sum", "v", ">=", 5]}]) == (1, 2)
-    assert counted(df, [{"filter": ["s", "not contains", "x"]}]) == (2, 3)
-    assert counted(df, [{"filter": ["s", "!=", "q"], "target": ["sum", "v", "==", 0]}]) == (2, 2)
-    got = ask(df, {"query": {"aggregations": [{"column": "s", "type": "meanPerValue", "otherColumn": "v"}, {"column": "v", "type": "count"}, {"column": "v", "type": "countPerValue"}]}})["query"]["aggregations"]
-    assert got[0]["value"] == {"x": 5.0, "y": None} and got[1]["value"] == 1 and got[2]["value"] == {"5.0": 1}
+def counted(values):
+    out = {}
+    for v in values:
+        out[v] = out.get(v, 0) + 1
+    return out
 
 
-def test_include_zero_lets_groups_without_rows_pass(users):
-    rare = {"filter": ["price", ">", 120], "target": ["count", "<=", 3]}
-    assert counted(users, [rare])[0] == 0
-    assert counted(users, [{**rare, "includeZero": True}])[0] == 3
-    assert counted(users, [{"filter": ["price", ">", 120], "target": ["count", "==", 0]}])[0] == 3
+@pytest.mark.parametrize("conditions", [[], [{"filter": ["pages", ">", 300], "target": ["count", ">=", 12]}]])
+def test_aggregations_equal_the_model(spark, conditions):
+    rows = loans(77)
+    own = [r for rs in model(rows, conditions, False).values() for r in rs]
+    asked = [{"column": "shelf"}, {"column": "back", "type": "countPerValue"}, {"column": "shelf", "type": "sumPerValue", "otherColumn": "pages", "name": "p"}, {"column": "shelf", "type": "meanPerValue", "otherColumn": "fine"}, {"column": "pages", "type": "groupsPerValue", "top": 3}]
+    got = CohortEngine("reader", "lent").run(spark.createDataFrame(rows, SCHEMA), {"query": {"conditions": conditions, "aggregations": asked}}).to_dict()["query"]
+    assert got["matchingGroupRows"] == len(own)
+    count, per, groups, back, total, mean, pages = (a["value"] for a in got["aggregations"])
+    shelved = [r for r in own if r["shelf"] is not None]
+    assert count == len(shelved) and per == counted(r["shelf"] for r in shelved)
+    assert groups == {s: len({r["reader"] for r in shelved if r["shelf"] == s}) for s in per}
+    assert back == {str(k): n for k, n in counted(r["back"] for r in own if r["back"] is not None).items()}
+    assert total == {s: sum(r["pages"] or 0 for r in shelved if r["shelf"] == s) for s in per} and got["aggregations"][4]["name"] == "p"
+    for s in per:
+        fines = [r["fine"] for r in shelved if r["shelf"] == s and r["fine"] is not None]
+        assert mean[s] == pytest.approx(sum(fines) / len(fines)) if fines else mean[s] is None
+    readers = {str(p): len({r["reader"] for r in own if r["pages"] == p}) for p in {r["pages"] for r in own} - {None}}
+    assert list(pages.items()) == sorted(readers.items(), key=lambda x: (-x[1], x[0]))[:3]  # ties by key
+
+
+def test_funnel_equals_the_model(spark):
+    rows = loans(5)
+    steps = [["shelf", "==", "A1"], ["back", "==", True], ["pages", ">", 300], ["fine", "==", 2.5]]
+    funnel = {"sequence": [{"filter": f} for f in steps], "stepAggregations": [{"column": "shelf", "type": "groupsPerValue"}], "endAggregations": [{"column": "back", "type": "sumPerValue", "otherColumn": "pages", "top": 1}]}
+    conditions = [{"filter": ["pages", "==", 150]}]
+    got = CohortEngine("reader", "lent").run(spark.createDataFrame(rows, SCHEMA), {"query": {"conditions": conditions}, "funnel": funnel}).to_dict()["funnel"]
+    matching = model(rows, conditions, False)
+    for i, block in enumerate(got["sequence"]):
+        here = {g: own for g, own in matching.items() if matches(own, {"sequence": [{"filter": f} for f in steps[: i + 1]]})}
+        assert (block["matchingGroups"], block["matchingGroupRows"]) == (len(here), sum(map(len, here.values())))
+        assert block["aggregations"][0]["value"] == {s: sum(any(r["shelf"] == s for r in own) for own in here.values()) for s in {r["shelf"] for own in here.values() for r in own} - {None}}
+    sums = {str(b): sum(r["pages"] or 0 for own in here.values() for r in own if r["back"] is b) for b in (True, False)} if here else {}
+    best = dict(sorted(sums.items(), key=lambda x: (-x[1], x[0]))[:1])
+    assert got["endAggregations"][0]["value"] == best
 
 
 def test_keys_of_values(spark):
-    rows = [("a", 1, True, 1e7, 2), ("a", 2, False, 12345678.5, 2), ("a", 3, True, 0.25, 3)]
-    df = spark.createDataFrame(rows, "id string, timestamp long, f boolean, x double, n long")
-    got = ask(df, {"query": {"aggregations": [{"column": c, "type": "countPerValue"} for c in "fxn"]}})["query"]["aggregations"]
-    assert [g["value"] for g in got] == [{"True": 2, "False": 1}, {"0.25": 1, "10000000.0": 1, "12345678.5": 1}, {"2": 2, "3": 1}]
+    rows = [("r", 1, True, 1e7, 2), ("r", 2, False, 12345678.5, 2), ("r", 3, True, 0.25, 3), ("r", 4, None, 1e20, None)]
+    df = spark.createDataFrame(rows, "reader string, lent long, flag boolean, weight double, n long")
+    got = CohortEngine("reader", "lent").run(df, {"query": {"aggregations": [{"column": c, "type": "countPerValue"} for c in ("flag", "weight", "n")]}}).to_dict()["query"]["aggregations"]
+    assert [g["value"] for g in got] == [{"True": 2, "False": 1}, {"0.25": 1, "10000000.0": 1, "12345678.5": 1, "1.0E20": 1}, {"2": 2, "3": 1}]
 
 
 def test_timeframe_bounds(spark):
-    begin, span = 1609459200000, 10000
-    df = spark.createDataFrame([(i % 200, begin + (i * 9973) % (span - 1) + 1) for i in range(998)] + [(1, begin), (2, begin + span)], "id long, ts long")
-    rows = lambda **frame: ask(df, {"timeframe": frame}, "id", "ts")["query"]["matchingGroupRows"]
-    assert rows(**{"from": begin}) == 1000 and rows(**{"from": begin + span}) == 1 and rows(**{"from": begin, "to": begin + 1}) == 1
-    assert rows(**{"from": begin, "to": begin + span}) == 999 and rows(to=begin + span + 1) == 1000 and rows(to=begin + 1) == 1
-    empty = CohortEngine("id", "ts").run(df.filter("ts < 0"), {"query": {"aggregations": [{"column": "id"}]}, "funnel": {"sequence": [{"filter": ["id", "==", 1]}]}}).to_dict()
-    assert empty["query"]["matchingGroups"] == 0 and [a["value"] for a in empty["query"]["aggregations"]] == [0, {}, {}]
-    assert empty["funnel"]["sequence"] == [{"matchingGroups": 0, "matchingGroupRows": 0}]
-
-
-def test_sequence_conditions(spark):
-    walks = {"a": [0, 1, 2, 3, 4], "b": [0, 1, -1, -1, -1], "c": [4, 3, 2, 1, 0]}
-    df = spark.createDataFrame([(u, t, v) for u, w in walks.items() for t, v in enumerate(w)], "id string, timestamp long, category long")
-    found = lambda *steps: {r["id"] for r in CohortEngine("id", "timestamp").run(df, {"query": {"conditions": [{"sequence": [{"filter": ["category", *s]} for s in steps]}]}}).matching_groups().collect()}
-    assert found(("==", 0), ("<=", 2), ("<", 0)) == {"b"}
-    assert found((">=", 3), ("<=", 2), ("==", 0)) == {"c"}
-
-
-def test_funnel_with_conditions_and_aggregations(spark):
-    rows = [("a", 1, "v", 1.0), ("a", 2, "c", 2.0), ("a", 2, "p", 3.0), ("b", 1, "v", 4.0), ("b", 1, "c", 5.0), ("c", 3, "v", 6.0), ("c", 4, "c", 7.0), ("c", 5, "p", 8.0), ("d", 1, "p", 9.0)]
-    df = spark.createDataFrame(rows, "id string, timestamp long, k string, x double")
-    step = lambda k: {"filter": ["k", "==", k]}
-    q = {
-        "query": {"conditions": [{"name": "big", "filter": ["x", ">", 1.5]}, {"filter": ["k", "==", "v"]}], "relation": "$big and $1"},
-        "funnel": {"sequence": [step("v"), step("c"), step("p")], "stepAggregations": [{"column": "k", "type": "groupsPerValue"}], "endAggregations": [{"column": "k", "type": "sumPerValue", "otherColumn": "x", "top": 2}]},
-    }
-    got = ask(df, q)
-    assert (got["query"]["matchingGroups"], got["query"]["matchingGroupRows"]) == (3, 8)
-    assert [(s["matchingGroups"], s["matchingGroupRows"]) for s in got["funnel"]["sequence"]] == [(3, 8), (2, 6), (1, 3)]  # ties in time are not later
-    assert got["funnel"]["sequence"][1]["aggregations"][0]["value"] == {"c": 2, "p": 2, "v": 2}
-    assert got["funnel"]["endAggregations"][0]["value"] == {"p": 8.0, "c": 7.0}
+    rows = loans(9)
+    engine, df = CohortEngine("reader", "lent"), spark.createDataFrame(rows, SCHEMA)
+    for frame in ({"from": 120}, {"to": 120}, {"from": 110, "to": 111}, {"from": 139, "to": 500}, {"from": 900}):
+        kept = [r for r in rows if r[0] is not None and frame.get("from", 0) <= r[1] < frame.get("to", 10**9)]
+        query = {"timeframe": frame, "query": {"aggregations": [{"column": "pages"}]}, "funnel": {"sequence": [{"filter": ["pages", ">=", 0]}]}}
+        got = engine.run(df, query).to_dict()
+        assert (got["query"]["matchingGroups"], got["query"]["matchingGroupRows"]) == (len({r[0] for r in kept}), len(kept))
+        assert got["query"]["aggregations"][0]["value"] == sum(r[3] is not None for r in kept) and len(got["funnel"]["sequence"]) == 1
 
 
-def test_odd_names_and_clashing_columns(spark):
-    df = spark.createDataFrame([("a", 1, 5, "q", 1), ("b", 2, 7, "r", 2)], "`user id` string, `the time` long, `a.b` long, value string, `rows` long")
-    got = ask(df, {"query": {"conditions": [{"filter": ["a.b", ">", 5]}], "aggregations": [{"column": "value"}, {"column": "rows", "type": "countPerValue"}]}}, "user id", "the time")
-    assert got["query"]["matchingGroups"] == 1 and got["query"]["aggregations"][3]["value"] == {"2": 1}
+def test_scanned(spark):
+    rows = loans(3)
+    got = CohortEngine("reader", "lent").run(spark.createDataFrame(rows, SCHEMA), {"timeframe": {"from": 120}, "query": {"conditions": [{"filter": ["pages", ">", 10**6]}]}}).scanned().first()
+    kept = [r for r in rows if r[1] >= 120]
+    assert tuple(got) == (len(kept), len({r[0] for r in kept} - {None}))
 
 
-def test_queries_that_do_not_fit_are_refused(users):
+def test_odd_names_and_clashing_columns(spark):
+    df = spark.createDataFrame([("a", 1, 5, "q", 1), ("b", 2, 7, "r", 2)], "`the reader` string, `lent at` long, `a.b` long, value string, `rows` long")
+    got = CohortEngine("the reader", "lent at").run(df, {"query": {"conditions": [{"filter": ["a.b", ">", 5]}], "aggregations": [{"column": "value"}, {"column": "rows", "type": "countPerValue"}]}}).to_dict()
+    assert got["query"]["matchingGroups"] == 1 and got["query"]["aggregations"][3]["value"] == {"2": 1}
     with pytest.raises(QueryProblem):
-        ask(users, {"query": {"conditions": [{"filter": ["nope", "==", 1]}]}})
+        CohortEngine("the reader", "lent at").run(df, {"query": {"conditions": [{"filter": ["nope", "==", 1]}]}})
 
 
-def test_matching_rows_and_pushed_projection(users):
-    result = CohortEngine("id", "timestamp").run(users, {"query": {"conditions": [{"filter": ["price", ">", 133], "target": ["count", ">", 2]}]}})
-    assert result.matching_rows().count() == 32 and result.base.columns == ["id", "timestamp", "price"]
+def test_matching_rows_and_projection(spark):
+    rows, conditions = loans(21), [{"filter": ["pages", ">", 300], "target": ["count", ">", 9]}]
+    result = CohortEngine("reader", "lent").run(spark.createDataFrame(rows, SCHEMA), {"query": {"conditions": conditions}})
+    assert result.matching_rows().count() == sum(map(len, model(rows, conditions, False).values())) and result.base.columns == ["reader", "lent", "pages"]
 
 
-def brute(rows, steps):
+def reach(rows, steps):
     out = {}
-    for g in {r[0] for r in rows if r[0] is not None}:
-        own, at, n = [r for r in rows if r[0] == g and r[1] is not None], None, 0
-        for s in steps:
-            due = [r[1] for r in own if r[2] == s and (at is None or r[1] > at)]
-            if not due:
-                break
-            at, n = min(due), n + 1
+    for g in {r[0] for r in rows} - {None}:
+        n = 0
+        while n < len(steps) and matches([{"lent": t, "k": k} for h, t, k in rows if h == g], {"sequence": [{"filter": ["k", "==", s]} for s in steps[: n + 1]]}):
+            n += 1
         out[g] = n
     return out
 
 
-@settings(max_examples=12, deadline=None, suppress_health_check=[HealthCheck.function_scoped_fixture])
+@settings(max_examples=8, deadline=None, suppress_health_check=[HealthCheck.function_scoped_fixture])
 @given(st.integers(0, 10_000), st.lists(st.sampled_from("xyz"), min_size=1, max_size=4))
-def test_reach_equals_brute_force_with_and_without_heavy_groups(spark, seed, steps):
+def test_reach_equals_the_model_with_and_without_heavy_groups(spark, seed, steps):
     rng = random.Random(seed)
     rows = [(rng.choice(["hot", "hot", "b", "c", None]), rng.choice([None, *range(30)]), rng.choice("xyzw")) for _ in range(120)]
     df = spark.createDataFrame(rows, "g string, t long, k string")
     wanted = [{"filter": {"column": "k", "op": "==", "value": s}} for s in steps]
-    expected = brute(rows, steps)
-    for share, spread in ((None, 1), (0.2, 7), (0.01, 64)):
-        found = sequence_reach(df, "g", "t", {"n": wanted, "first": wanted[:1]}, [Measure("rows", "count")], heavy_share=share, spread=spread).collect()
-        assert {r["g"]: r["n"] for r in found} == expected and {r["g"]: r["first"] for r in found} == brute(rows, steps[:1])
+    expected = reach(rows, steps)
+    for most, spread in ((None, 1), (10**6, 64), (30, 7), (1, 64)):
+        found = sequence_reach(df, "g", "t", {"n": wanted, "first": wanted[:1]}, [Measure("rows", "count")], heavy_rows=most, spread=spread).collect()
+        assert {r["g"]: r["n"] for r in found} == expected and {r["g"]: r["first"] for r in found} == reach(rows, steps[:1])
         assert {r["g"]: r["rows"] for r in found} == {g: sum(r[0] == g for r in rows) for g in expected}
 
 
-def test_plan_of_conditions_with_sequence_is_one_scan_and_one_exchange(spark, tmp_path):
-    spark.range(1000).select((F.col("id") % 50).alias("g"), F.col("id").alias("t"), (F.col("id") % 7).alias("v"), F.lit("x").alias("unused")).write.parquet(str(tmp_path / "e"))
-    df = spark.read.parquet(str(tmp_path / "e"))
+@pytest.fixture(scope="module")
+def stored(spark, tmp_path_factory):
+    path = str(tmp_path_factory.mktemp("plan") / "e")
+    spark.range(1000).select((F.col("id") % 50).alias("g"), F.col("id").alias("t"), (F.col("id") % 7).alias("v"), (F.col("id") % 3).alias("w"), F.lit("x").alias("unused")).write.parquet(path)
+    return spark.read.parquet(path)
+
+
+def plan_of(df):
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_conditions_with_sequences_are_one_scan_and_one_exchange_by_default(stored):
     q = {"query": {"relation": "or", "conditions": [{"filter": ["v", "==", 3], "target": ["count", ">", 2]}, {"sequence": [{"filter": ["v", "==", 1]}, {"filter": ["v", "==", 2]}]}]}}
-    plan = CohortEngine("g", "t", heavy_share=None).run(df, q).matching_groups()._jdf.queryExecution().executedPlan().toString()
+    plan = plan_of(CohortEngine("g", "t").run(stored, q).matching_groups())
     assert plan.count("Exchange hashpartitioning") == 1 and plan.count("FileScan parquet") == 1 and "unused" not in plan
+
+
+def test_aggregations_of_many_columns_read_the_rows_once_for_each_kind(stored):
+    every = {"query": {"aggregations": [{"column": c, "type": "countPerValue"} for c in ("v", "w", "g")]}}
+    assert plan_of(CohortEngine("g", "t").run(stored, every).aggregations()).count("FileScan parquet") == 1
+    some = {"query": {"conditions": [{"filter": ["v", "==", 3]}], **every["query"]}}
+    assert plan_of(CohortEngine("g", "t").run(stored, some).aggregations()).count("FileScan parquet") == 2  # the rows, and the groups that match
