@@ -1,3 +1,5 @@
+import time
+
 import numpy as np
 import pandas as pd
 import pytest
@@ -51,3 +53,37 @@ def test_edges(spark):
         pack(rows(spark, 1), "doc_id", "n", capacity=0)
     with pytest.raises(ValueError):
         pack(rows(spark, 1).withColumnRenamed("doc_id", "shard"), "shard", "n")
+
+
+def plainly(sizes, capacity):
+    need = max(1, -(-int(sizes.sum()) // capacity))
+    room, load, out = [capacity] * need, [0.0] * need, [None] * len(sizes)
+    for i in np.argsort(-sizes, kind="stable"):
+        fits = [(load[c], c) for c in range(len(room)) if room[c] >= sizes[i]]
+        if not fits:
+            room.append(capacity)
+            load.append(0.0)
+        where = min(fits)[1] if fits else len(room) - 1
+        out[i] = (where, capacity - room[where])
+        room[where] -= sizes[i]
+        load[where] += cost(int(sizes[i]))
+    return out
+
+
+def test_the_tree_finds_what_a_look_at_all_containers_finds():
+    for seed in range(25):
+        rng = np.random.default_rng(seed)
+        capacity = int(rng.integers(1, 60))
+        sizes = rng.integers(1, capacity + 1, int(rng.integers(1, 120)))
+        assert list(zip(*(x.tolist() for x in pack_sizes(sizes, capacity)))) == plainly(sizes, capacity)
+
+
+def test_long_items_and_many_pieces_are_no_work_for_the_packer(spark):
+    began = time.time()
+    at, _ = pack_sizes(np.random.default_rng(1).integers(1, 4097, 60_000), 4096)
+    assert time.time() - began < 60 and len(at) == 60_000
+    items = spark.range(20).selectExpr("id % 10 as id", "40961000L + id % 2 as size", "'x' as other")  # repeated rows, 10,000 pieces each
+    packed = pack(items, "id", "size")
+    assert packed.count() == sum(-(-(40961000 + i % 2) // 4096) for i in range(20)) and packed.filter("piece_size < 4096").count() == 20
+    use = packed.groupBy("container_id").agg({"piece_size": "sum"}).withColumnRenamed("sum(piece_size)", "used")
+    assert use.filter("used > 4096").count() == 0 and use.agg({"used": "sum"}).first()[0] == sum(40961000 + i % 2 for i in range(20))
