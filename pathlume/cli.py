@@ -11,7 +11,7 @@ from pyspark.sql import SparkSession
 
 from pathlume.api import Lume
 from pathlume.operators.aggregations import DEFAULT_TOP
-from pathlume.operators.sequences import DEFAULT_HEAVY_SHARE
+from pathlume.operators.sequences import DEFAULT_HEAVY_ROWS
 from pathlume.operators.table_profile import CATEGORICAL_RATIO, LEAST_TOP_SHARE, TOP_VALUES
 from pathlume.server import serve
 from pathlume.sources.catalog import SAMPLE_MOST, SAMPLE_SHARE, UNREGISTER_AFTER_S, ValidationMode
@@ -25,7 +25,7 @@ CONFIG = {
     "registration.sample.share": SAMPLE_SHARE,
     "registration.sample.most": SAMPLE_MOST,
     "unregister.after.seconds": UNREGISTER_AFTER_S,
-    "sequence.heavy.share": DEFAULT_HEAVY_SHARE,
+    "sequence.heavy.rows": DEFAULT_HEAVY_ROWS,
 }
 
 

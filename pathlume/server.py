@@ -17,6 +17,11 @@ def _yes(options: dict, name: str) -> bool:
     return options.get(name, ["false"])[0].lower() in ("true", "1", "yes")
 
 
+def _true(value: object) -> bool:
+    """Of a JSON value: true, and texts that say so."""
+    return value is True or (isinstance(value, str) and value.lower() in ("true", "1", "yes"))
+
+
 class Handler(BaseHTTPRequestHandler):
     lume: Lume
 
@@ -75,10 +80,12 @@ class Handler(BaseHTTPRequestHandler):
             body = self._body()
         except ValueError:
             return self._answer({"errorMessage": "the body is no JSON"}, 400)
+        if not isinstance(body, dict):
+            return self._answer({"success": False, "errorMessage": "the body must be an object"}, 400)
         if parts.path == "/datasets/register":
             return self._register(body)
         if found and found[2] == "unregister":
-            return self._answer(self.lume.unregister_dataset(found[1], bool(body.get("force"))))
+            return self._answer(self.lume.unregister_dataset(found[1], _true(body.get("force"))))
         if found and found[2] == "query":
             return self._query(found[1], body, options)
         return self._answer({"errorMessage": "no such place"}, 404)
@@ -94,7 +101,7 @@ class Handler(BaseHTTPRequestHandler):
             except KeyError:
                 return self._answer({"success": False, "errorMessage": "no such validationMode"}, 400)
         if "validateUniques" in body:
-            options["validate_uniques"] = bool(body["validateUniques"])
+            options["validate_uniques"] = _true(body["validateUniques"])
         found = self.lume.register_dataset(*(body[k] for k in needed), **options)
         return self._answer(found, 200 if found["success"] else 400)
 
