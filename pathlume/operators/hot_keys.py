@@ -17,6 +17,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from pathlume.functions.normalize import col
+from pathlume.sources.workspace import written
 
 DEFAULT_HEAVY_SHARE = 0.01
 DEFAULT_SALTS = 32
@@ -49,9 +50,8 @@ def heavy_keys(df: DataFrame, keys: list[str], heavy_share: float = DEFAULT_HEAV
     """
     if not 0 < heavy_share <= 1:
         raise ValueError("heavy_share must be above 0 and at most 1")
-    present = df.dropna(subset=keys)
-    counts = present.groupBy(*(col(k) for k in keys)).agg(F.count(F.lit(1)).alias("__n"))
-    total = present.count()
+    counts = written(df.dropna(subset=keys).groupBy(*(col(k) for k in keys)).agg(F.count(F.lit(1)).alias("__n")), "key-counts")  # the rows are read once
+    total = counts.agg(F.sum("__n")).first()[0]
     if not total:
         return []
     return [tuple(r[:-1]) for r in counts.filter(F.col("__n") >= F.lit(heavy_share * total)).collect()]

@@ -11,6 +11,7 @@ from pathlume.functions.normalize import col, epoch_ms, without_nan
 from pathlume.operators.hot_keys import Measure, salted_aggregate
 from pathlume.operators.sessions import SessionTable, local_sessions
 from pathlume.sources.tables import read_table, registered_keys
+from pathlume.sources.workspace import written
 
 #: Activity tables: what brings their time to milliseconds, and the column whose total each group gets.
 ACTIVITY = {"shop_activity": (1.0, "price"), "app_activity": (1000.0, "eventvalue")}
@@ -63,10 +64,9 @@ def p2_groups(spark: SparkSession, data_dir: str) -> DataFrame:
 
 def p2_found(spark: SparkSession, data_dir: str) -> DataFrame:
     """Groups with at least 2 % of their table's rows with a group id."""
-    per_group = groups(spark, data_dir).select("dataset_name", "group_id", "n_rows")
-    totals = {n: F.lit(rows.filter(group.isNotNull()).count()) for n, rows, group, _, _ in _activity(spark, data_dir)}
-    total = reduce(lambda c, n: F.when(F.col("dataset_name") == n, totals[n]).otherwise(c), totals, F.lit(None).cast("bigint"))
-    return per_group.filter(F.col("n_rows") >= F.lit(FOUND_SHARE) * total).select("dataset_name", "group_id")
+    per_group = written(groups(spark, data_dir).select("dataset_name", "group_id", "n_rows"), "group-rows")
+    totals = per_group.groupBy("dataset_name").agg(F.sum("n_rows").alias("total"))  # a row a table
+    return per_group.join(F.broadcast(totals), "dataset_name").filter(F.col("n_rows") >= F.lit(FOUND_SHARE) * F.col("total")).select("dataset_name", "group_id")
 
 
 def sessions(spark: SparkSession, data_dir: str, batches: int = 3) -> SessionTable:
