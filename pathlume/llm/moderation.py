@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 from pathlume.llm import moderation_contrasts, moderation_model, moderation_phrases, moderation_text
 from pathlume.llm.moderation_model import LABELS, Model, Shape, from_bytes, to_bytes, train
 from pathlume.llm.moderation_phrases import LANGUAGES, generated, is_rude
-from pathlume.llm.moderation_text import STRETCH, Segmenter, tokens
+from pathlume.llm.moderation_text import STRETCH, Segmenter, stretches, tokens
 from pathlume.sources.workspace import path_exists, shared_folder
 
 WINDOW, STRIDE = 16, 1
@@ -145,6 +145,17 @@ def gibberish(rng: random.Random) -> list[str]:
     return [word() if rng.random() < 0.8 else noise() for _ in range(rng.choice((1, 1, 2, 3, 8, 16)))]
 
 
+_CRIES = "ha ah haha oh ok hm mm wow la na lol yes no so ja nein si oui да нет хм は い".split()
+
+
+def repeated(words: Sequence[str], rng: random.Random) -> list[str]:
+    """A word or a few over and over, or single letters: what is said often is not worse than said once."""
+    if rng.random() < 0.3:
+        return rng.choices("abcdefghijklmnopqrstuvwxyzáâãàäåæçéèêëíìîïñóòôõöøúùûüýßабвгдежзиклмнопрстуфхцчшщэюя", k=rng.choice((1, 1, 1, 2, 4)))
+    few = rng.choices(words if words and rng.random() < 0.7 else _CRIES, k=rng.choice((1, 1, 1, 2, 3)))
+    return (few * WINDOW)[: rng.choice((WINDOW, WINDOW, rng.randint(2, WINDOW)))]
+
+
 _ACCENTS = {"a": "áàâã", "e": "éèêë", "i": "íìî", "o": "óòôõ", "u": "úùûü"}
 
 
@@ -158,11 +169,14 @@ def _typo(word: str, rng: random.Random) -> str:
     return word[:i] + word[i] + word[i:] if kind < 0.75 else word[:i] + word[i + 1 :]
 
 
-def training_set(labelled: Sequence[Labelled], n_generated: int, copies: int, seed: int, words: Sequence[list[str]] = ()) -> list[tuple[list[str], int]]:
+def training_set(
+    labelled: Sequence[Labelled], n_generated: int, copies: int, seed: int, words: Sequence[list[str]] = (), segmenter: Segmenter | None = None
+) -> list[tuple[list[str], int]]:
     """Token windows with class numbers. A harmful sentence comes alone or within harmless ones, cut to a window that keeps it. Harmless
     sentences come alone, several in a row and cut anywhere, down to a word or two, as windows of real texts are. Words that are not harmful
     by themselves are no sign of harm: ``words`` (ordinary ones), made-up ones and the ordinary ones of harmful sentences come in harmless
-    windows, and so do stretches of harmless sentences in any order."""
+    windows, and so do stretches of harmless sentences in any order, words said over and over, and words run together as the segmenter
+    cuts them, rightly or not."""
     rng = random.Random(seed)
     sentences = [(t, label, (lang or "en").strip().lower()[:2]) for t, label, lang in labelled] * copies + generated(n_generated, seed)
     cut = {t: tokens(t) for t in {s[0] for s in sentences}}
@@ -172,6 +186,7 @@ def training_set(labelled: Sequence[Labelled], n_generated: int, copies: int, se
             harmless.setdefault(lang, []).append(cut[text])
     everywhere = [x for _, xs in sorted(harmless.items()) for x in xs] or [[]]
     ordinary = {lang: sorted({w for t, label, of in sentences if label != "none" and of == lang for w in cut[t] if w.isalpha() and not is_rude(w, lang)}) for lang in LANGUAGES}
+    calm = {lang: sorted({w for x in xs for w in x if w.isalpha() and not is_rude(w)}) for lang, xs in sorted(harmless.items())}
     speakers = {lang: Speller(sorted({w for x in xs for w in x if w.isalpha()})) for lang, xs in sorted(harmless.items())}
 
     def unheard(found: list[str], lang: str, share: float) -> list[str]:
@@ -197,6 +212,18 @@ def training_set(labelled: Sequence[Labelled], n_generated: int, copies: int, se
                 out += rng.choices(ordinary[lang], k=rng.choice((1, 1, 2)))
         return out[: rng.choice((WINDOW, WINDOW, WINDOW, rng.randint(1, WINDOW)))]
 
+    def run_together(lang: str) -> list[str]:
+        """Harmless sentences without blanks here and there, unknown words among them, as the segmenter cuts them."""
+        found = unheard([w for _ in range(rng.randint(1, 3)) for w in rng.choice(harmless.get(lang) or everywhere)], lang, rng.choice((0.1, 0.3)))
+        out, i = [], 0
+        while i < len(found):
+            n = rng.choice((1, 2, 4, 6, 8))
+            run = "".join(w for w in found[i : i + n] if w.isalpha())
+            out += [s for p in segmenter.cut(run) for s in stretches(p)] if run else found[i : i + n]
+            i += n
+        start = rng.randrange(max(1, len(out) - WINDOW + 1))
+        return out[start : start + WINDOW] or ["a"]
+
     def around(lang: str) -> list[str]:
         if rng.random() < 0.35:
             return []
@@ -230,6 +257,9 @@ def training_set(labelled: Sequence[Labelled], n_generated: int, copies: int, se
     languages = [lang for _, _, lang in sentences]
     out += [(gibberish(rng), 0) for _ in range(n_generated // 20)]
     out += [(salad(rng.choice(languages)), 0) for _ in range(n_generated // 4)]
+    out += [(repeated(calm.get(rng.choice(languages), []), rng), 0) for _ in range(n_generated // 40)]
+    if segmenter:
+        out += [(run_together(rng.choice(languages)), 0) for _ in range(n_generated // 10)]
     return out
 
 
@@ -302,7 +332,8 @@ class Settings:
 
 
 def _fit_one(labelled: Sequence[Labelled], seed: int, how: Settings) -> Model:
-    return train(training_set(labelled, how.n_generated, how.copies, seed, vocabulary_words(how.vocabulary)), how.shape, seed=seed, epochs=how.epochs)
+    segmenter = _segmenter(labelled, how.n_generated, how.seeds[0])
+    return train(training_set(labelled, how.n_generated, how.copies, seed, vocabulary_words(how.vocabulary), segmenter), how.shape, seed=seed, epochs=how.epochs)
 
 
 def held_out_scores(labelled: Sequence[Labelled], fold: int, how: Settings) -> list[tuple[int, float]]:

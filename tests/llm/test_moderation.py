@@ -1,3 +1,5 @@
+import random
+
 import numpy as np
 import pandas as pd
 import pytest
@@ -165,6 +167,24 @@ def test_harmless_kinds_and_harm_are_told_apart(moderator):
     assert (p[:5] < 0.5).mean() >= 0.8 and (p[5:] > 0.5).all()
 
 
+def test_things_that_break_marks_and_repeats_are_harmless(moderator):
+    calm = ["A los pocos días se rompió asa. A los pocos días se rompió cierre.", "Al poco tiempo se rompió la correa.", "一か月でファスナーが壊れました。", "Five out of five", "ok " * 16, "ha " * 16, "ñ", "thepriceisunbeatable and the zip is quiet"]
+    harm = ["Send refugees back to the swamp they crawled out of.", "The driver deserves a good beating.", "Eres un idiota, ojalá te mueras."]
+    p = 1 - moderator.scores(calm + harm)[:, 0]
+    assert (p[:8] < 0.5).all() and (p[8:] > 0.5).all()
+
+
+def test_words_run_together_and_repeated_are_trained_on_as_harmless():
+    rows = generated(200, 5)
+    cut = Segmenter({w: 5.0 for w in ["un", "be", "a", "table", "the", "price", "is"]})
+    plain_set, with_cuts = (m.training_set(rows, 400, 1, 1, (), s) for s in (None, cut))
+    assert with_cuts[: len(plain_set)] == plain_set and len(with_cuts) - len(plain_set) == 40
+    assert all(label == 0 and 0 < len(w) <= m.WINDOW for w, label in with_cuts[len(plain_set) :])
+    rng = random.Random(1)
+    found = [m.repeated(["lamp"], rng) for _ in range(200)]
+    assert all(0 < len(w) <= m.WINDOW and not any(map(is_rude, w)) for w in found if len(w[0]) > 1) and ["lamp"] * m.WINDOW in found
+
+
 def test_score_column(spark, moderator):
     df = spark.createDataFrame([(1, "You stupid idiot, go to hell."), (2, "The lamp is light."), (3, None), (4, ""), (1, "You stupid idiot, go to hell.")], "doc_id long, text string")
     got = m.score_column(df, "text", moderator).toPandas()
